@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("op1_quality",)
+MODULES = ("op1_quality", "op4_substring")
 
 
 def _modules():
