@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("op1_quality", "op4_substring")
+MODULES = ("op1_quality", "op4_substring", "op8_simhash")
 
 
 def _modules():
