@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("op1_quality", "op4_substring", "op8_simhash")
+MODULES = ("op1_quality", "op4_substring", "op7_language", "op8_simhash", "op10_mixing")
 
 
 def _modules():
