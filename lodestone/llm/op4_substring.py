@@ -5,8 +5,8 @@
    holds, in its other occurrence, a whole aligned block (2 * 18 - 1 = 35), so it holds a hit.
    The index goes out as a bitmap of a size fixed by max_filter_blocks; beyond that size the probes meet
    the index in a shuffled join instead. A false hit costs a candidate, never a wrong result.
-3. Extension: around the hits, every 35-word window is given a 96-bit hash and dealt by it; equal windows
-   prove each other repeated. Consecutive repeated windows make the maximal repeats, whose words go.
+3. Extension: around the hits, every 35-word window is given a 96-bit hash and dealt by it, packed in buckets
+   whose number follows the corpus; equal windows prove each other repeated. Consecutive repeated windows make the maximal repeats, whose words go.
 
 No pairs are made. Windows that repeat within a slice of documents (a few megabytes) are settled there and
 send one row on, so a passage in a third of all documents sends one row a slice.
@@ -16,18 +16,22 @@ occurrences; rows are told apart by id and text, so an id may come twice; null i
 stay, those that clash with n_words, n_removed or kept_text are replaced.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import drop_stored, read_table, stored
-from lodestone.llm.wordhash import Words, slices, windows
+from lodestone.llm.wordhash import Words, mix, slices, windows
 
 NAME = "op4_substring_dedup"
 WINDOW = 35
 #: Index size up to which the bitmap is broadcast: it has at most 4 bytes a block, twice.
 MAX_FILTER_BLOCKS = 1 << 24
+#: Windows of the corpus for each bucket; only the candidates among them reach it.
+BUCKET_ROWS = 1 << 20
 
 _KEY = "k1 bigint, k2 int"
 
@@ -93,8 +97,8 @@ def _probe_rows(block, window):
     return run
 
 
-def _candidates(block, window, bits):
-    """Candidate windows by their hash; repeats within the slice are settled at once (run > 0)."""
+def _candidates(block, window, bits, buckets):
+    """Candidate windows, packed by bucket of their hash; repeats within the slice are settled at once, as runs."""
 
     def run(batches):
         for batch in batches:
@@ -111,6 +115,7 @@ def _candidates(block, window, bits):
                     p = windows(h, block, 0)
                     m, slot = _masks(p), (p & np.uint64(len(once) - 1)).astype(np.int64)
                     hit = ok & np.where(_aligned(w, block)[: len(ok)], (twice[slot] & m) == m, (once[slot] & m) == m)
+                    del p, m, slot
                 else:
                     hit = np.zeros(len(ok), bool)
                     for d in range(n):
@@ -126,55 +131,107 @@ def _candidates(block, window, bits):
                     continue
                 doc = np.repeat(np.arange(n), np.diff(w.first))[at]
                 a, b = windows(h, window, 0)[at], (windows(w.hashes(1), window, 1)[at] >> np.uint64(32)).astype(np.uint32)
+                at -= w.first[doc]
                 order = np.lexsort((b, a))
-                a, b, at, doc = a[order], b[order], at[order], doc[order]
-                new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                x, y = a[order], b[order]
+                new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
                 size = np.diff(np.append(np.flatnonzero(new), len(a)))
-                multi = np.repeat(size > 1, size)
-                # one row for each distinct window
-                one = np.flatnonzero(new)
-                yield _rows(a[one], b[one], k1[i + doc[one]], k2[i + doc[one]], at[one] - w.first[doc[one]], np.zeros(len(one)), multi[one])
-                # what is settled, as runs of consecutive windows
+                multi = np.zeros(len(a), bool)
+                multi[order] = np.repeat(size > 1, size)
+                one = np.zeros(len(a), bool)
+                one[order[new]] = True  # one row for each distinct window, in the order of the text
+                bucket = ((a >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                one = np.flatnonzero(one)
+                one = one[np.argsort(bucket[one], kind="stable")]
+                cut = np.flatnonzero(np.diff(bucket[one])) + 1
+                yield _packed([(int(bucket[r[0]]), a[r], b[r], multi[r], doc[r], at[r], None) for r in np.split(one, cut)], k1[i : i + n], k2[i : i + n])
                 s = np.flatnonzero(multi)
                 if len(s):
-                    s = s[np.argsort(at[s])]
-                    x, d = at[s], doc[s]
-                    begin = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1] + 1) | (d[1:] != d[:-1])]))
-                    length = np.diff(np.append(begin, len(x)))
-                    d = d[begin]
-                    yield _rows(a[s][begin], b[s][begin], k1[i + d], k2[i + d], x[begin] - w.first[d], length, np.ones(len(d), bool))
+                    begin = np.flatnonzero(np.concatenate([[True], (at[s][1:] != at[s][:-1] + 1) | (doc[s][1:] != doc[s][:-1])]))
+                    length = np.diff(np.append(begin, len(s)))
+                    s = s[begin]
+                    yield _packed([(int(a[s[0]] >> np.uint64(32)) % buckets, a[:0], b[:0], multi[:0], doc[s], at[s], length)], k1[i : i + n], k2[i : i + n])
 
     return run
 
 
-def _rows(a, b, k1, k2, at, run, multi):
-    cols = [a.view(np.int64), b.view(np.int32), k1, k2, at.astype(np.int32), np.asarray(run).astype(np.int32), multi]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h1", "h2", "k1", "k2", "at", "run", "multi"])
-
-
-def _settle(batches):
-    """Of rows sorted by hash: runs settled before, and the windows whose hash comes twice or is known to."""
-    carry = None
-    for batch in batches:
-        h1, h2, k1, k2, at, run, multi = (np.asarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns)
-        done = run > 0
-        out = [(k1[done], k2[done], at[done], run[done])]
-        rows = [x[~done] for x in (h1, h2, k1, k2, at, multi, ~multi)]
-        if carry is not None:
-            rows = [np.concatenate([x, y]) for x, y in zip(carry, rows)]
-        h1, h2, k1, k2, at, multi, emit = rows
-        if len(h1):
-            new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-            group = np.cumsum(new) - 1
-            known = (np.bincount(group) > 1) | (np.bincount(group, multi) > 0)
-            go = known[group] & emit
-            out.append((k1[go], k2[go], at[go], np.ones(int(go.sum()), np.int32)))
-            carry = [x[-1:].copy() for x in rows]
-            carry[5][0] = known[-1]
-            carry[6][0] = not known[-1]
-        cols = [np.concatenate(x) for x in zip(*out)]
-        if len(cols[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k1", "k2", "at", "run"])
+_PACKED = "bucket int, k1 array<bigint>, k2 array<int>, n array<int>, a binary, b binary, multi binary, at binary, run binary"
+
+
+def _packed(groups, k1, k2):
+    """One row for each bucket: its documents' keys and rows, hashes, and positions as compressed steps."""
+    cols = [[] for _ in range(9)]
+    for bucket, a, b, multi, doc, at, run in groups:
+        new = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        step = np.diff(at, prepend=0).astype(np.int32)
+        row = (bucket, k1[doc[new]], k2[doc[new]], np.diff(np.append(new, len(doc))).astype(np.int32), a.tobytes(), b.tobytes(), np.packbits(multi).tobytes(), zlib.compress(step.tobytes(), 1), b"" if run is None else zlib.compress(run.astype(np.int32).tobytes(), 1))
+        for c, x in zip(cols, row):
+            c.append(x)
+    kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())] + [pa.binary()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in _PACKED.split(", ")])
+
+
+def _settled(table):
+    """Of one bucket: runs settled before, and the windows whose hash comes twice or is known to, as (k1, k2, document, at, run)."""
+    keys1, keys2, docs, ats, runs, hashes1, hashes2, multis = ([] for _ in range(8))
+    total = 0
+    for row in table.to_pylist():
+        n = np.array(row["n"], np.int64)
+        at = np.cumsum(np.frombuffer(zlib.decompress(row["at"]), np.int32)).astype(np.int32)
+        keys1.append(np.array(row["k1"], np.int64))
+        keys2.append(np.array(row["k2"], np.int32))
+        docs.append(np.repeat(np.arange(total, total + len(n)), n))
+        total += len(n)
+        ats.append(at)
+        settled = bool(row["run"])
+        runs.append(np.frombuffer(zlib.decompress(row["run"]), np.int32) if settled else np.zeros(len(at), np.int32))
+        # settled runs get hashes that meet no other
+        hashes1.append(np.zeros(len(at), np.uint64) if settled else np.frombuffer(row["a"], np.uint64))
+        hashes2.append(np.zeros(len(at), np.uint32) if settled else np.frombuffer(row["b"], np.uint32))
+        multis.append(np.zeros(len(at), bool) if settled else np.unpackbits(np.frombuffer(row["multi"], np.uint8), count=len(at)).astype(bool))
+    k1, k2, doc, at, run, a, b, multi = (np.concatenate(x) for x in (keys1, keys2, docs, ats, runs, hashes1, hashes2, multis))
+    open_ = np.flatnonzero(run == 0)
+    order = open_[np.lexsort((b[open_], a[open_]))]
+    x, y = a[order], b[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])[: len(order)]
+    if len(order):
+        group = np.cumsum(new) - 1
+        known = (np.bincount(group) > 1) | (np.bincount(group, multi[order]) > 0)
+        order = order[known[group] & ~multi[order]]
+    go = np.sort(np.concatenate([np.flatnonzero(run > 0), order]))
+    doc, at, run = doc[go], at[go], np.maximum(run[go], 1)
+    return k1[doc], k2[doc], doc, at, run
+
+
+def _settle(buckets):
+    """What a bucket of windows found, packed by bucket of documents."""
+
+    def run(table):
+        k1, k2, doc, at, length = _settled(table)
+        home = (mix(k1.view(np.uint64) ^ (k2.astype(np.uint64) << np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        cut = np.flatnonzero(np.diff(home[order])) + 1
+        cols = [[] for _ in _PACKED_FOUND.split(", ")]
+        for r in np.split(order, cut) if len(order) else []:
+            row = (int(home[r[0]]), *(zlib.compress(x[r].astype(t).tobytes(), 1) for x, t in ((k1, np.int64), (k2, np.int32), (at, np.int32), (length, np.int32))))
+            for c, x in zip(cols, row):
+                c.append(x)
+        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int32()] + [pa.binary()] * 4)], [x.split()[0] for x in _PACKED_FOUND.split(", ")])
+
+    return run
+
+
+_PACKED_FOUND = "home int, k1 binary, k2 binary, at binary, run binary"
+
+
+def _gather(table):
+    """One row for each document of a bucket."""
+    k1, k2, at, run = (np.concatenate([np.frombuffer(zlib.decompress(x.as_py()), t) for x in table.column(c)]) for c, t in (("k1", np.int64), ("k2", np.int32), ("at", np.int32), ("run", np.int32)))
+    order = np.lexsort((at, k2, k1))
+    k1, k2, at, run = k1[order], k2[order], at[order], run[order]
+    new = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
+    ends = pa.array(np.append(new, len(k1)).astype(np.int32))
+    return pa.table({"k1": k1[new], "k2": k2[new], "at": pa.ListArray.from_arrays(ends, pa.array(at)), "run": pa.ListArray.from_arrays(ends, pa.array(run))})
 
 
 def _remove(window):
@@ -186,8 +243,7 @@ def _remove(window):
                 parts = t.as_py().encode().split()
                 n = len(parts)
                 if f.is_valid and n:
-                    x = f.values
-                    at, length = (np.asarray(x.field(k)) for k in ("at", "run"))
+                    at, length = (np.asarray(f[k].values) for k in ("at", "run"))
                     step = np.zeros(n + 1, np.int64)
                     np.add.at(step, at, 1)
                     np.add.at(step, at + length + window - 1, -1)
@@ -234,9 +290,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", t
         probes = keys.mapInArrow(_probe_rows(block, window), f"h bigint, aligned boolean, {_KEY}, at int")
         hits = probes.join(index, "h").where(~F.col("aligned") | (F.col("n") > 1)).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("at")).alias("at"))
         given, bits = keys.join(hits, ["k1", "k2"], "left"), None
-    found = given.mapInArrow(_candidates(block, window, bits), f"h1 bigint, h2 int, {_KEY}, at int, run int, multi boolean")
-    found = found.repartition("h1").sortWithinPartitions("h1", "h2").mapInArrow(_settle, f"{_KEY}, at int, run int")
-    found = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "run")).alias("found"))
+    buckets = max(16, blocks * block // BUCKET_ROWS)
+    found = given.mapInArrow(_candidates(block, window, bits, buckets), _PACKED).groupBy("bucket").applyInArrow(_settle(buckets), _PACKED_FOUND)
+    found = found.groupBy("home").applyInArrow(_gather, f"{_KEY}, at array<int>, run array<int>").withColumn("found", F.struct("at", "run")).drop("at", "run")
     own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
     rows = docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.hash(f"`{text}`").alias("k2"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     joined = rows.join(found, ["k1", "k2"], "left").select(*[F.col(f"`{c}`") for c in own], "t", "found")

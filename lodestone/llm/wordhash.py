@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
-CHUNK = 1 << 20
+SLICE_BYTES = 2 << 20
+CHUNK = 1 << 18
 LONG_WORD = 4096
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 WORD_SEEDS = (0x165667B19E3779F9, 0x27D4EB2F165667C5)
