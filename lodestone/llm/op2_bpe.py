@@ -1,15 +1,27 @@
 """Byte-level BPE: encoding by ranks, one pre-token at a time, and decoding by joining pieces.
 
-Native: DataFrame functions only. The distinct pre-tokens of the corpus are encoded once each: a fold over
-the word's byte ids merges, again and again, the leftmost pair of lowest rank, looked up in a literal rank
-map (row displacement: two array reads a pair). Documents then join their pre-tokens' ids by word.
+Two forms with the same results. encode_native is the method in DataFrame functions alone: the distinct
+pre-tokens of the corpus are encoded once each by a fold over the word's byte ids that merges, again and
+again, the leftmost pair of lowest rank, looked up in a literal rank map (row displacement: two array reads
+a pair); documents then join their pre-tokens' ids by word. That join shuffles every pre-token of the corpus,
+several times the input, so the query takes encoded(): each worker encodes the distinct words that it meets
+by the same ranked merges, keeps them in a table of bounded size, and nothing is shuffled.
+
+Defined results: null and empty texts have no ids and decode to no bytes; rows are encoded one by one, so
+ids may repeat or be null; a text of any length is held one row at a time; extra columns stay, those that
+clash with ids, n_tokens, ids_sha256 or decoded_sha256 are replaced; an empty table gives an empty one.
 """
 
 import base64
 import functools
+import hashlib
+import heapq
+import struct
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +29,14 @@ from lodestone.llm.common import read_table
 
 NAME = "op2_byte_bpe"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Words that a worker keeps, and the longest that it keeps, in characters.
+CACHED, LONGEST = 1 << 19, 64
 _NONE = 1 << 30
+#: Words up to this many bytes are merged without a heap.
+_SHORT = 40
 _SLOTS = 1 << 20
 _STRIDE = 40503
+_MADE = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 @functools.cache
@@ -28,6 +45,115 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@functools.cache
+def pieces(path: str) -> list[bytes]:
+    """Bytes by id."""
+    table = ranks(path)
+    out = [b""] * (max(table.values()) + 1)
+    for piece, i in table.items():
+        out[i] = piece
+    return out
+
+
+def _merge_short(word: bytes, table: dict[bytes, int]) -> list[int]:
+    """merge() by looking at every pair each time."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    found = [table.get(word[i : i + 2], _NONE) for i in range(len(word) - 1)]
+    while found and (low := min(found)) < _NONE:
+        i = found.index(low)
+        parts[i] += parts.pop(i + 1)
+        del found[i]
+        if i < len(found):
+            found[i] = table.get(parts[i] + parts[i + 1], _NONE)
+        if i:
+            found[i - 1] = table.get(parts[i - 1] + parts[i], _NONE)
+    return [table[x] for x in parts]
+
+
+def merge(word: bytes, table: dict[bytes, int]) -> list[int]:
+    """Ids of one pre-token: the leftmost pair of lowest rank is merged until none is left."""
+    if word in table:
+        return [table[word]]
+    if len(word) <= _SHORT:
+        return _merge_short(word, table)
+    end = list(range(1, len(word) + 1))  # of the part that starts at a byte
+    before = list(range(-1, len(word) - 1))
+    get = table.get
+    heap = [(r, i, i + 2) for i in range(len(word) - 1) if (r := get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        r, i, j = heapq.heappop(heap)
+        mid = end[i]
+        if mid < 0 or mid >= len(word) or end[mid] != j or mid >= j:
+            continue  # one of the two parts is no longer there
+        end[i], end[mid] = j, -1
+        if j < len(word):
+            before[j] = i
+            if (x := get(word[i : end[j]])) is not None:
+                heapq.heappush(heap, (x, i, end[j]))
+        if (p := before[i]) >= 0 and (x := get(word[p:j])) is not None:
+            heapq.heappush(heap, (x, p, j))
+    out, i = [], 0
+    while i < len(word):
+        out.append(table[word[i : end[i]]])
+        i = end[i]
+    return out
+
+
+class Words(dict):
+    """Ids of words, as little-endian unsigned 32-bit integers; encodes what it lacks."""
+
+    def __init__(self, path):
+        super().__init__()
+        self.table = ranks(path)
+
+    def __missing__(self, word):
+        ids = merge(word.encode(), self.table)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= LONGEST:
+            if len(self) >= CACHED:
+                self.clear()
+            self[word] = packed
+        return packed
+
+
+_words = {}
+
+
+def _encode(path, pattern, with_ids):
+    def run(batches):
+        if path not in _words:
+            _words[path] = Words(path)
+        find, get, piece = regex.compile(pattern).findall, _words[path].__getitem__, pieces(path).__getitem__
+        for batch in batches:
+            ids, counts, shas, backs = [], [], [], []
+            for t in batch.column(batch.num_columns - 1):
+                packed = b"".join(map(get, find(t.as_py() or "")))
+                numbers = np.frombuffer(packed, "<u4")
+                back = hashlib.sha256()
+                for k in range(0, len(numbers), 1 << 16):
+                    back.update(b"".join(map(piece, numbers[k : k + (1 << 16)].tolist())))
+                if with_ids:
+                    ids.append(numbers.astype(np.int32))
+                counts.append(len(numbers))
+                shas.append(hashlib.sha256(packed).hexdigest())
+                backs.append(back.hexdigest())
+            made = [pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string())]
+            if with_ids:
+                made.insert(0, pa.array(ids, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], *_MADE[1 - with_ids :]])
+
+    return run
+
+
+def encoded(docs: DataFrame, path: str, text: str = "text", pattern: str = public_tokenizers.PATTERN, with_ids: bool = True) -> DataFrame:
+    """docs with ids array<int> (if asked for), n_tokens, ids_sha256 and, of the ids decoded again, decoded_sha256."""
+    own = [c for c in docs.columns if c not in _MADE]
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text}`").alias("__t"))
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["ids array<int>"] * with_ids
+    return rows.mapInArrow(_encode(path, pattern, with_ids), ", ".join([*schema, "n_tokens bigint, ids_sha256 string, decoded_sha256 string"]))
+
+
 @functools.cache
 def _pairs(path: str):
     """Row displacement of the merges: place[a], and at (place[a] + b * stride) mod slots the first id and the merged id."""
@@ -69,7 +195,7 @@ def encode_word(word: Column, path: str) -> Column:
         at = (F.get(place_, a) + b * _STRIDE) % _SLOTS
         return F.when(F.get(owner_, at) == a, F.get(value_, at)).otherwise(_NONE)
 
-    def merge(acc: Column, _: Column) -> Column:
+    def step(acc: Column, _: Column) -> Column:
         found = F.transform(F.sequence(F.lit(0), F.size(acc) - 2), lambda i: rank(F.get(acc, i), F.get(acc, i + 1)))
 
         def apply(r):
@@ -79,7 +205,7 @@ def encode_word(word: Column, path: str) -> Column:
 
         return F.when(F.size(acc) < 2, acc).otherwise(F.get(F.transform(F.array(found), apply), 0))
 
-    folded = F.aggregate(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), start, merge)
+    folded = F.aggregate(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), start, step)
     return F.when(n == 0, F.array().cast("array<int>")).otherwise(folded)
 
 
@@ -96,23 +222,9 @@ def encode_native(docs: DataFrame, path: str, id: str = "doc_id", text: str = "t
 
 def decode_native(ids: Column, path: str) -> Column:
     """The bytes of a sequence of ids."""
-    pieces = [p.hex() for p, _ in sorted(ranks(path).items(), key=lambda x: x[1])]
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(_literal(pieces, "string"), i)), ""))
-
-
-def ids_binary(ids: Column, size: int) -> Column:
-    """Ids as little-endian unsigned 32-bit integers."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(_literal([k.to_bytes(4, "little").hex() for k in range(size)], "string"), i)), ""))
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(_literal([p.hex() for p in pieces(path)], "string"), i)), ""))
 
 
 def query(spark, sf_dir):
-    path = public_tokenizers.path(VOCABULARY)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = docs.select("doc_id").join(encode_native(docs, path), "doc_id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
-    size = max(ranks(path).values()) + 1
-    return out.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(ids_binary(F.col("ids"), size), 256).alias("ids_sha256"),
-        F.sha2(decode_native(F.col("ids"), path), 256).alias("decoded_sha256"),
-    )
+    return encoded(docs, public_tokenizers.path(VOCABULARY), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
