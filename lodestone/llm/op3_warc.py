@@ -96,7 +96,7 @@ def _write(folder, level):
             for id, url, html, refers_to, revisit in zip(*(c for c in batch.columns)):
                 if out is None:
                     path = f"{root}/{uuid.uuid4().hex}.warc.gz"
-                    out, press, size, records = fs.open_output_stream(path), zlib.compressobj(level, wbits=31), 0, 0
+                    out, press, size, records = fs.open_output_stream(path, compression=None), zlib.compressobj(level, wbits=31), 0, 0
                 data = record(id.as_py(), url.as_py(), (html.as_py() or "").encode(), refers_to.as_py(), revisit.as_py())
                 out.write(press.compress(data))
                 size, records = size + len(data), records + 1
