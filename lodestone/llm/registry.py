@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("op1_quality", "op2_bpe", "op3_warc", "op4_substring", "op5_gif", "op6_tokens", "op7_language", "op8_simhash", "op10_mixing")
+MODULES = ("op1_quality", "op2_bpe", "op3_warc", "op4_substring", "op5_gif", "op6_tokens", "op7_language", "op8_simhash", "op9_html", "op10_mixing")
 
 
 def _modules():
