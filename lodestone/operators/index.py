@@ -18,14 +18,19 @@ def token_rows(docs: DataFrame, id: str, field: str, options: TokenizerOptions =
     return docs.select(F.col(id), F.explode(text.detailed(F.col(field), options)).alias("t")).select(id, "t.token", "t.position")
 
 
+def with_length(array):
+    """array<struct<x, n>>: each element with the array's size."""
+    return F.get(F.transform(F.array(array), lambda a: F.transform(a, lambda x: F.struct(x.alias("x"), F.size(a).alias("n")))), 0)
+
+
 def postings(docs: DataFrame, config: IndexConfig, id: str = "id") -> DataFrame:
     """All postings. One shuffle by (term, field, id), whose counts are summed in the tasks first."""
 
     def one(field):
-        terms = text.detailed(F.col(field), config.tokenizer)
-        rows = docs.select(F.col(id).alias("id"), F.size(terms).alias("field_len"), F.explode(terms).alias("t"))
-        rows = rows.groupBy(F.col("t.token").alias("term"), F.lit(field).alias("field"), "id")
-        return rows.agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("t.position")).alias("positions"), F.first("field_len").alias("field_len"))
+        # the length goes into each element: beside explode, its expression would be worked out for each token
+        rows = docs.select(F.col(id).alias("id"), F.explode(with_length(text.detailed(F.col(field), config.tokenizer))).alias("t"))
+        rows = rows.groupBy(F.col("t.x.token").alias("term"), F.lit(field).alias("field"), "id")
+        return rows.agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("t.x.position")).alias("positions"), F.first("t.n").alias("field_len"))
 
     return reduce(DataFrame.union, [one(f) for f in config.searchable])
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
+from lodestone.operators.index import with_length
 
 # Weight of an interaction by its type.
 WEIGHTS = {"view": 1.0, "click": 2.0, "bookmark": 3.0, "like": 4.0, "purchase": 5.0}
@@ -78,9 +79,9 @@ def content_vectors(items: DataFrame, id: str = "id", fields=("text",)) -> DataF
     """(item_id, term, value): TF-IDF of unit length over the fields' texts together; items without a token count in N."""
     tokens = text.tokenize(F.concat_ws(" ", *fields))
     rows = items.select(F.col(id).alias("item_id"), tokens.alias("tokens"))
-    total = rows.agg(F.count(F.lit(1)).alias("n_items"), F.countDistinct("item_id").alias("ids"))
-    tf = rows.select("item_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    tf = tf.groupBy("item_id", "term").agg((F.count(F.lit(1)) / F.first("length")).alias("tf"))
+    total = items.agg(F.count(F.lit(1)).alias("n_items"))
+    tf = rows.select("item_id", F.explode(with_length(F.col("tokens"))).alias("t"))
+    tf = tf.groupBy("item_id", F.col("t.x").alias("term")).agg((F.count(F.lit(1)) / F.first("t.n")).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     value = F.col("tf") * (F.log((F.col("n_items") + 1) / (F.col("df") + 1)) + 1)
     raw = tf.join(df, "term").crossJoin(F.broadcast(total)).select("item_id", "term", value.alias("value"))  # total: one row

@@ -123,26 +123,30 @@ class SearchIndex:
         return list(options.fields or self.config.searchable)
 
     def scan(self, terms: list[str], fields: list[str]) -> DataFrame:
-        """docs with len_<field>, and at_<field>: for each term the ascending positions of the term."""
-        o, new = self.config.tokenizer, {}
-        for f in fields:
-            if o.stemmer or o.ngrams:
-                tokens = text.detailed(F.col(f), o)
-                new[f"len_{f}"] = F.size(tokens)
-                new[f"hit_{f}"] = F.filter(tokens, lambda x: x["token"].isin(terms))
-            else:
-                raw = text.raw_tokens(F.col(f), o)
-                new[f"len_{f}"] = F.size(text.remove_stop_words(raw, o.stop_words))
-                made = F.transform(raw, lambda x, i: F.when(x.isin(terms), F.struct(x.alias("token"), i.alias("position"))))
-                new[f"hit_{f}"] = F.array_compact(made)
-        keep = [F.col(self.id)] + [F.col(c) for c in self.docs.columns if c != self.id and c in self.config.fields]
-        rows = self.docs.select(*keep, *[c.alias(k) for k, c in new.items()])
-        wanted = F.array(*[F.lit(t) for t in terms])
+        """docs with scan_<field>: its length and, for each term, the ascending positions of the term.
+
+        One expression a field, whose inner lambda binds the token array: the text is split once.
+        """
+        o, wanted = self.config.tokenizer, F.array(*[F.lit(t) for t in terms])
 
-        def places(f):
-            return F.transform(wanted, lambda t: F.transform(F.filter(F.col(f"hit_{f}"), lambda x: x["token"] == t), lambda x: x["position"]))
+        def of(f):
+            plain = not (o.stemmer or o.ngrams)
+            tokens = text.raw_tokens(F.col(f), o) if plain else text.detailed(F.col(f), o)
 
-        return rows.select(*keep, *[F.col(f"len_{f}") for f in fields], *[places(f).alias(f"at_{f}") for f in fields])
+            def measured(all_tokens):
+                if plain:
+                    length = F.size(text.remove_stop_words(all_tokens, o.stop_words))
+                    hits = F.array_compact(F.transform(all_tokens, lambda x, i: F.when(x.isin(terms), F.struct(x.alias("token"), i.alias("position")))))
+                else:
+                    length, hits = F.size(all_tokens), F.filter(all_tokens, lambda x: x["token"].isin(terms))
+                at = F.transform(F.array(hits), lambda h: F.transform(wanted, lambda t: F.transform(F.filter(h, lambda x: x["token"] == t), lambda x: x["position"])))
+                return F.struct(length.alias("len"), F.get(at, 0).alias("at"))
+
+            return F.get(F.transform(F.array(tokens), measured), 0).alias(f"scan_{f}")
+
+        keep = [F.col(self.id)] + [F.col(c) for c in self.docs.columns if c != self.id and c in self.config.fields]
+        rows = self.docs.select(*keep, *[of(f) for f in fields])
+        return rows.select(*keep, *[c for f in fields for c in (F.col(f"scan_{f}.len").alias(f"len_{f}"), F.col(f"scan_{f}.at").alias(f"at_{f}"))])
 
     def stats(self, rows: DataFrame, terms: list[str], fields: list[str]) -> DataFrame:
         """One row: documents, mean length of each field, document frequency of each term in it."""
@@ -208,11 +212,10 @@ class SearchIndex:
         terms = list(dict.fromkeys(r.term for r in resolved))
         rows = self.scan(terms, fields)
         stats = self.stats(rows, terms, fields)
-        seen = reduce(lambda a, b: a | b, [F.exists(f"at_{f}", lambda p: F.size(p) > 0) for f in fields])
-        rows = rows.where(where & seen)
-        for p in phrases:
-            rows = rows.where(self._phrase(p, terms, fields))
+        rows = rows.where(where) if options.filters else rows
         rows = rows.crossJoin(F.broadcast(stats))  # one row
+        for p in phrases:  # tied to the statistics, so that it stays above the scan and doesn't split texts again
+            rows = rows.where(self._phrase(p, terms, fields) & (F.col("n") > 0))
         rows = rows.withColumns({f"share_{f}": self._shares(resolved, terms, f, options) for f in fields})
         rows = rows.withColumn("base", F.aggregate(F.concat(*[F.col(f"share_{f}") for f in fields]), F.lit(0.0), lambda a, x: a + x["share"]))
         if options.proximity and len({r.term for r in resolved}) > 1:
