@@ -134,6 +134,6 @@ def hybrid(signals: dict[str, DataFrame], weights: dict[str, float], limit: int
 
 def recency(items: DataFrame, seen: DataFrame, now: str, half_life_days: float = 30.0) -> DataFrame:
     """(item_id, score) of unseen items(item_id, created_at) with a date."""
-    age = F.greatest(F.lit(0.0), (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("created_at")) / 86_400e6)
+    age = F.greatest(F.lit(0.0), (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 86_400e6)
     out = items.where("created_at IS NOT NULL").join(seen.select("item_id"), "item_id", "left_anti")
     return out.select("item_id", F.pow(F.lit(2.0), -age / half_life_days).alias("score")) if half_life_days > 0 else out.select("item_id", F.lit(0.0).alias("score")).limit(0)

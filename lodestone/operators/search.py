@@ -194,7 +194,7 @@ class SearchIndex:
                 added = added + F.when(holds, at_least * (r.boost - 1)).otherwise(0.0)
             else:
                 now = F.lit(options.now).cast("timestamp") if options.now else F.current_timestamp()
-                day = c if self.kinds[r.field] == "timestamp" else F.try_to_timestamp(c)
+                day = c.cast("timestamp") if self.kinds[r.field].startswith(("timestamp", "date")) else F.try_to_timestamp(c)
                 age = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(day)) / 86_400e6)
                 added = added + F.when(day.isNotNull(), at_least * F.pow(F.lit(2.0), -age / r.half_life_days) * r.weight).otherwise(0.0)
         return F.greatest(F.lit(0.0), base + added)
@@ -215,7 +215,7 @@ class SearchIndex:
         rows = rows.where(where) if options.filters else rows
         rows = rows.crossJoin(F.broadcast(stats))  # one row
         for p in phrases:  # tied to the statistics, so that it stays above the scan and doesn't split texts again
-            rows = rows.where(self._phrase(p, terms, fields) & (F.col("n") > 0))
+            rows = rows.where(F.when(F.col("n") > 0, self._phrase(p, terms, fields)))
         rows = rows.withColumns({f"share_{f}": self._shares(resolved, terms, f, options) for f in fields})
         rows = rows.withColumn("base", F.aggregate(F.concat(*[F.col(f"share_{f}") for f in fields]), F.lit(0.0), lambda a, x: a + x["share"]))
         if options.proximity and len({r.term for r in resolved}) > 1:

@@ -1 +1,286 @@
+"""Interactions, recommendations, relevance and search analytics over events, part, documents and labels.
+
+An event is an interaction of a user with item k of its props; types that aren't interactions are left out.
+The search log is derived from events too: each is a search for a word by its item, its value the latency;
+clicks among them are clicks on what they showed.
+"""
+
+from pyspark.sql import functions as F
+
+from lodestone.config import Field, IndexConfig
+from lodestone.operators import analytics, evaluate, index, recommend, suggest
+from lodestone.operators.search import batch_search
+from lodestone.plans import sql
+from lodestone.plans.text_queries import docs
+from lodestone.sources.tables import read_table, spread
+
 QUERIES, ORACLES = {}, {}
+
+
+def add(name, run, oracle=None):
+    QUERIES[name] = run
+    if oracle:
+        ORACLES[name] = oracle
+
+
+# interactions
+
+EVENTS = """i AS (SELECT user_id, (props->>'$.k')::INT AS item_id, event_type AS type, ts, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 5 END::DOUBLE AS w FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+s AS (SELECT user_id, item_id, sum(w) AS w FROM i GROUP BY ALL)"""
+
+
+def interactions(spark, sf):
+    e = read_table(spark, sf, "events")
+    e = e.select("user_id", F.get_json_object("props", "$.k").cast("int").alias("item_id"), F.col("event_type").alias("type"), F.col("ts").alias("occurred_at"))
+    return recommend.weighted(e)
+
+
+def strength(spark, sf):
+    return recommend.strengths(interactions(spark, sf))
+
+
+def rounded(df, *columns):
+    return df.withColumns({c: F.round(c, 6) for c in columns or ("score",)})
+
+
+add("popularity", lambda spark, sf: recommend.popularity(interactions(spark, sf)), f"WITH {EVENTS} SELECT item_id, sum(w) AS score FROM i GROUP BY 1")
+add(
+    "popularity_window",
+    lambda spark, sf: recommend.top(recommend.popularity(interactions(spark, sf), "2024-01-05 00:00:00", "2024-01-12 00:00:00")),
+    f"WITH {EVENTS} SELECT item_id, sum(w) AS score FROM i WHERE ts BETWEEN '2024-01-05' AND '2024-01-12' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+)
+add(
+    "interaction_stats",
+    lambda spark, sf: recommend.interaction_stats(interactions(spark, sf)).select("total", "users", "items", "n_view", "n_click", "n_bookmark", "n_like", "n_purchase"),
+    f"WITH {EVENTS} SELECT count(*) AS total, count(DISTINCT user_id) AS users, count(DISTINCT item_id) AS items, count(*) FILTER (WHERE type = 'view') AS n_view, count(*) FILTER (WHERE type = 'click') AS n_click, count(*) FILTER (WHERE type = 'bookmark') AS n_bookmark, count(*) FILTER (WHERE type = 'like') AS n_like, count(*) FILTER (WHERE type = 'purchase') AS n_purchase FROM i",
+)
+add("user_item_strengths", lambda spark, sf: strength(spark, sf), f"WITH {EVENTS} SELECT user_id, item_id, w AS strength FROM s")
+add(
+    "user_history",
+    lambda spark, sf: interactions(spark, sf).where("user_id = 8").select("item_id", "type", "occurred_at"),
+    f"WITH {EVENTS} SELECT item_id, type, ts AS occurred_at FROM i WHERE user_id = 8",
+)
+NEIGHBOURS = f"""WITH {EVENTS}, n AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM s GROUP BY 1),
+nb AS (SELECT a.item_id, b.item_id AS neighbour, sum(a.w * b.w) / (any_value(x.n) * any_value(y.n)) AS score FROM s a JOIN s b ON a.user_id = b.user_id AND a.item_id <> b.item_id JOIN n x ON x.item_id = a.item_id JOIN n y ON y.item_id = b.item_id GROUP BY 1, 2)"""
+add("item_neighbors", lambda spark, sf: rounded(recommend.neighbours(strength(spark, sf))), NEIGHBOURS + " SELECT item_id, neighbour, round(score, 6) AS score FROM nb")
+add(
+    "similar_items_cf",
+    lambda spark, sf: recommend.top(recommend.neighbours(strength(spark, sf)).where("item_id = 5").select(F.col("neighbour").alias("item_id"), "score")),
+    NEIGHBOURS + " SELECT neighbour AS item_id, round(score, 6) AS score FROM nb WHERE item_id = 5 ORDER BY 2 DESC, 1 LIMIT 10",
+)
+add(
+    "cf_recommend",
+    lambda spark, sf: rounded(recommend.collaborative(strength(spark, sf), recommend.neighbours(strength(spark, sf)))),
+    NEIGHBOURS + " SELECT s.user_id, nb.neighbour AS item_id, round(sum(nb.score * s.w), 6) AS score FROM s JOIN nb USING (item_id) WHERE NOT EXISTS (SELECT 1 FROM s z WHERE z.user_id = s.user_id AND z.item_id = nb.neighbour) GROUP BY 1, 2",
+)
+
+# content: documents are the items
+
+VECTORS = f"""t0 AS (SELECT doc_id::INT AS doc_id, text FROM documents),
+{sql.live("t", "t0", "doc_id", "text")},
+tf AS (SELECT id, term, count(*)::DOUBLE AS n FROM t GROUP BY 1, 2), z AS (SELECT id, sum(n) AS n FROM tf GROUP BY 1), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+raw AS (SELECT tf.id, term, tf.n / z.n * (ln(((SELECT count(*) FROM t0) + 1) / (df + 1)::DOUBLE) + 1) AS v FROM tf JOIN z USING (id) JOIN df USING (term)),
+nr AS (SELECT id, sqrt(sum(v * v)) AS n FROM raw GROUP BY 1),
+vec AS (SELECT raw.id AS item_id, term, v / nr.n AS v FROM raw JOIN nr USING (id))"""
+
+
+def items(spark, sf):
+    """Documents are the items; events name some of them."""
+    return docs(spark, sf).select(F.col("doc_id").cast("int").alias("id"), "text")
+
+
+def vectors(spark, sf):
+    return recommend.content_vectors(items(spark, sf))
+
+
+add("content_vectors", lambda spark, sf: rounded(vectors(spark, sf), "value"), f"WITH {VECTORS} SELECT item_id, term, round(v, 6) AS value FROM vec")
+add(
+    "content_similar",
+    lambda spark, sf: recommend.top(recommend.similar_items(vectors(spark, sf), 1)),
+    f"WITH {VECTORS} SELECT b.item_id, round(sum(a.v * b.v), 6) AS score FROM vec a JOIN vec b ON a.term = b.term AND a.item_id = 1 AND b.item_id <> 1 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+)
+USER = """pr AS (SELECT term, sum(v * s.w) AS p FROM vec JOIN s ON s.item_id = vec.item_id AND s.user_id = 8 GROUP BY 1),
+co AS (SELECT item_id, sum(v * p) / (SELECT sqrt(sum(p * p)) FROM pr) AS score FROM vec JOIN pr USING (term) WHERE item_id NOT IN (SELECT item_id FROM s WHERE user_id = 8) GROUP BY 1)"""
+add(
+    "content_recommend",
+    lambda spark, sf: recommend.top(recommend.content_recommend(vectors(spark, sf), strength(spark, sf), 8)),
+    f"WITH {EVENTS}, {VECTORS}, {USER} SELECT item_id, round(score, 6) AS score FROM co WHERE score > 0 ORDER BY 2 DESC, 1 LIMIT 10",
+)
+
+
+def hybrid_recommend(spark, sf):
+    s = strength(spark, sf)
+    seen = s.where("user_id = 8").select("item_id")
+    made = items(spark, sf).select(F.col("id").alias("item_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600).alias("created_at"))
+    signals = {
+        "content": recommend.content_recommend(vectors(spark, sf), s, 8),
+        "collaborative": recommend.collaborative(s, recommend.neighbours(s), 8),
+        "popularity": recommend.popularity(interactions(spark, sf)).join(seen, "item_id", "left_anti"),
+        "recency": recommend.recency(made, seen, "2024-02-01 00:00:00", 10.0),
+    }
+    return recommend.hybrid(signals, {"content": 0.35, "collaborative": 0.5, "popularity": 0.15, "recency": 0.1}, 20)
+
+
+add(
+    "hybrid_recommend",
+    hybrid_recommend,
+    f"""{NEIGHBOURS}, {VECTORS}, {USER}, seen AS (SELECT item_id FROM s WHERE user_id = 8),
+cf AS (SELECT nb.neighbour AS item_id, sum(nb.score * s.w) AS score FROM s JOIN nb USING (item_id) WHERE s.user_id = 8 AND nb.neighbour NOT IN (SELECT item_id FROM seen) GROUP BY 1),
+po AS (SELECT item_id, sum(w) AS score FROM i WHERE item_id NOT IN (SELECT item_id FROM seen) GROUP BY 1),
+re AS (SELECT doc_id AS item_id, pow(2, -(744 - doc_id) / 240.0::DOUBLE) AS score FROM t0 WHERE doc_id NOT IN (SELECT item_id FROM seen)),
+al AS (SELECT item_id FROM co WHERE score > 0 UNION SELECT item_id FROM cf UNION SELECT item_id FROM po UNION SELECT item_id FROM re),
+h AS (SELECT al.item_id, coalesce(co.score / (SELECT max(score) FROM co), 0) AS content, coalesce(cf.score / (SELECT max(score) FROM cf), 0) AS collaborative, coalesce(po.score / (SELECT max(score) FROM po), 0) AS popularity, coalesce(re.score, 0) AS recency
+  FROM al LEFT JOIN co USING (item_id) LEFT JOIN cf USING (item_id) LEFT JOIN po USING (item_id) LEFT JOIN re USING (item_id))
+SELECT item_id, round(0.35 * content + 0.5 * collaborative + 0.15 * popularity + 0.1 * recency, 6) AS score, round(content, 6) AS content, round(collaborative, 6) AS collaborative, round(popularity, 6) AS popularity, round(recency, 6) AS recency
+FROM h WHERE 0.35 * content + 0.5 * collaborative + 0.15 * popularity + 0.1 * recency > 0 ORDER BY 2 DESC, 1 LIMIT 20""",
+)
+add(
+    "popularity_fallback",
+    lambda spark, sf: recommend.with_fallback(
+        recommend.collaborative(strength(spark, sf), recommend.neighbours(strength(spark, sf)), -1), recommend.popularity(interactions(spark, sf)), strength(spark, sf).where("user_id = -1")
+    ),
+    f"WITH {EVENTS} SELECT item_id, sum(w) AS score FROM i GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+)
+
+# relevance: benchmark items search documents; a document that labels call good is relevant to every query
+
+RUN = f"""{sql.live("t", "documents", "doc_id", "text")},
+{sql.live("w", "benchmark", "item_id", "text")},
+q AS (SELECT id AS query_id, term, count(*) AS qf FROM w GROUP BY ALL),
+l AS (SELECT d.doc_id AS id, count(t.term)::DOUBLE AS n FROM documents d LEFT JOIN t ON t.id = d.doc_id GROUP BY 1),
+s AS (SELECT count(*)::DOUBLE AS n, avg(n) AS a FROM l),
+c AS (SELECT id, term, count(*)::DOUBLE AS tf FROM t SEMI JOIN q USING (term) GROUP BY 1, 2),
+d AS (SELECT term, count(*)::DOUBLE AS df FROM c GROUP BY 1),
+x AS (SELECT q.query_id, c.id AS doc_id, round(sum(q.qf * {sql.BM25.format(k1=1.2, b=0.75)}), 6) AS score FROM c JOIN d USING (term) JOIN q USING (term) JOIN l USING (id), s GROUP BY ALL),
+run AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x QUALIFY rank <= 10),
+j AS (SELECT b.item_id AS query_id, doc_id, quality AS grade FROM labels, benchmark b WHERE doc_id % 40 = b.item_id % 40),
+g AS (SELECT run.query_id, run.rank, coalesce(j.grade, 0) AS grade FROM run LEFT JOIN j USING (query_id, doc_id)),
+got AS (SELECT query_id, count(*) FILTER (WHERE grade > 0) AS hits, min(rank) FILTER (WHERE grade > 0) AS first, sum((pow(2, grade) - 1) / log2(rank + 1)) AS dcg FROM g GROUP BY 1),
+o AS (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS r FROM j),
+ideal AS (SELECT query_id, count(*) FILTER (WHERE grade > 0) AS relevant, sum((pow(2, grade) - 1) / log2(r + 1)) FILTER (WHERE r <= 10) AS ideal FROM o GROUP BY 1),
+m AS (SELECT query_id, coalesce(hits / 10.0::DOUBLE, 0) AS precision, coalesce(hits::DOUBLE / nullif(relevant, 0), 0) AS recall, coalesce(1.0::DOUBLE / first, 0) AS rr, coalesce(dcg, 0) AS dcg, coalesce(dcg / nullif(ideal, 0), 0) AS ndcg FROM got FULL JOIN ideal USING (query_id))"""
+
+
+def run(spark, sf, **kw):
+    d, config = docs(spark, sf), IndexConfig({"text": Field(searchable=True)})
+    q = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    out = batch_search(index.postings(d, config, "doc_id"), index.field_lengths(d, config, "doc_id"), q, config, **kw)
+    return out.select("query_id", F.col("id").alias("doc_id"), "rank")
+
+
+def judgments(spark, sf):
+    """Grades of the labelled documents, each dealt to the queries of its id's remainder."""
+    q = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("m"))
+    return read_table(spark, sf, "labels").withColumn("m", F.col("doc_id") % 40).join(q, "m").select("query_id", "doc_id", F.col("quality").alias("grade"))
+
+
+def metrics(spark, sf):
+    return evaluate.evaluate(run(spark, sf), judgments(spark, sf))
+
+
+add("eval_precision_recall", lambda spark, sf: rounded(metrics(spark, sf).select("query_id", "precision", "recall"), "precision", "recall"), f"WITH {RUN} SELECT query_id, round(precision, 6) AS precision, round(recall, 6) AS recall FROM m")
+add("eval_mrr", lambda spark, sf: metrics(spark, sf).agg(F.round(F.avg("rr"), 6).alias("mrr")), f"WITH {RUN} SELECT round(avg(rr), 6) AS mrr FROM m")
+add("eval_ndcg", lambda spark, sf: rounded(metrics(spark, sf).select("query_id", "dcg", "ndcg"), "dcg", "ndcg"), f"WITH {RUN} SELECT query_id, round(dcg, 6) AS dcg, round(ndcg, 6) AS ndcg FROM m")
+add(
+    "eval_compare",
+    lambda spark, sf: evaluate.compare({"plain": run(spark, sf), "flat": run(spark, sf, b=0.0)}, judgments(spark, sf)),
+    "SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"(WITH {r} SELECT '{n}' AS config, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS rr, round(avg(dcg), 6) AS dcg, round(avg(ndcg), 6) AS ndcg FROM m)"
+        for n, r in (("plain", RUN), ("flat", RUN.replace(sql.BM25.format(k1=1.2, b=0.75), sql.BM25.format(k1=1.2, b=0.0))))
+    )
+    + ")",
+)
+
+# the derived search log
+
+LOG = """lg AS (SELECT event_id AS search_id, CASE (props->>'$.k')::INT % 7 WHEN 0 THEN 'MACHINE learning' WHEN 1 THEN 'machine' ELSE 'item ' || ((props->>'$.k')::INT % 23) END AS raw, value AS latency_ms, (CASE WHEN event_id % 9 = 0 THEN 0 ELSE event_id % 4 + 1 END)::INT AS result_count, ts AS created_at, event_type FROM events),
+se AS (SELECT search_id, lower(raw) AS query, latency_ms, result_count, created_at FROM lg),
+im AS (SELECT search_id, (search_id * 7 + p) % 50 AS document_id, p::INT AS position FROM se, range(1, 6) r(p) WHERE p <= result_count),
+ck AS (SELECT search_id, (search_id * 7 + 1 + search_id % 3) % 50 AS document_id, (1 + search_id % 3)::INT AS position, created_at + INTERVAL 1 MINUTE AS created_at FROM lg WHERE event_type = 'click'),
+ok AS (SELECT * FROM ck WHERE EXISTS (SELECT 1 FROM im WHERE im.search_id = ck.search_id AND im.document_id = ck.document_id AND im.position = ck.position))"""
+
+
+def log(spark, sf):
+    """(searches, impressions, valid clicks)."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    raw = F.when(k % 7 == 0, "MACHINE learning").when(k % 7 == 1, "machine").otherwise(F.concat(F.lit("item "), (k % 23).cast("string")))
+    n = F.when(F.col("event_id") % 9 == 0, 0).otherwise(F.col("event_id") % 4 + 1).cast("int")
+    e = read_table(spark, sf, "events").select(F.col("event_id").alias("search_id"), analytics.normalized(raw).alias("query"), F.col("value").alias("latency_ms"), n.alias("result_count"), F.col("ts").alias("created_at"), "event_type")
+    shown = e.where("result_count > 0").select("search_id", F.explode(F.sequence(F.lit(1), F.col("result_count"))).alias("position"))
+    shown = shown.select("search_id", ((F.col("search_id") * 7 + F.col("position")) % 50).alias("document_id"), "position")
+    at = (1 + F.col("search_id") % 3).cast("int")
+    hit = e.where("event_type = 'click'").select("search_id", ((F.col("search_id") * 7 + at) % 50).alias("document_id"), at.alias("position"), (F.col("created_at") + F.expr("INTERVAL 1 MINUTE")).alias("created_at"))
+    return e.drop("event_type"), shown, analytics.valid_clicks(hit, shown)
+
+
+def report(f):
+    return lambda spark, sf: f(*log(spark, sf))
+
+
+add(
+    "analytics_overview",
+    report(lambda s, i, c: analytics.overview(s)),
+    f"WITH {LOG} SELECT count(*) AS searches, count(DISTINCT query) AS queries, round(avg(latency_ms), 6) AS avg_latency, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95, round(quantile_cont(latency_ms, 0.99), 6) AS p99, count(*) FILTER (WHERE result_count = 0) AS zero_results, round(count(*) FILTER (WHERE result_count = 0) / count(*), 6) AS zero_rate FROM se",
+)
+SPAN = ("2024-01-05 00:00:00", "2024-01-15 00:00:00")
+add(
+    "analytics_volume",
+    report(lambda s, i, c: analytics.volume(analytics.within(s, analytics.resolve_range(*SPAN)))),
+    f"WITH {LOG} SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n FROM se WHERE created_at BETWEEN '{SPAN[0]}' AND '{SPAN[1]}' GROUP BY 1",
+)
+QUERY_REPORT = f"""WITH {LOG}, n AS (SELECT search_id, count(*) AS shown FROM im GROUP BY 1), cl AS (SELECT se.query, count(*) AS clicks FROM ok JOIN se USING (search_id) GROUP BY 1),
+r AS (SELECT query, count(*) AS searches, round(avg(result_count), 6) AS avg_results, round(avg(latency_ms), 6) AS avg_latency, round(count(*) FILTER (WHERE result_count = 0) / count(*), 6) AS zero_rate, coalesce(sum(shown), 0)::BIGINT AS impressions FROM se LEFT JOIN n USING (search_id) GROUP BY 1),
+qr AS (SELECT r.*, coalesce(clicks, 0) AS clicks, round(coalesce(coalesce(clicks, 0) / nullif(impressions, 0), 0), 6) AS ctr FROM r LEFT JOIN cl USING (query))"""
+add("analytics_queries", report(lambda s, i, c: analytics.queries(s, i, analytics.named_clicks(c, s))), QUERY_REPORT + " SELECT * FROM qr ORDER BY searches DESC, query LIMIT 20")
+add(
+    "analytics_no_results",
+    report(lambda s, i, c: analytics.no_results(analytics.queries(s, i, analytics.named_clicks(c, s), None), 10)),
+    QUERY_REPORT + ", t AS (SELECT * FROM qr ORDER BY searches DESC, query LIMIT 100) SELECT * FROM t WHERE zero_rate > 0 ORDER BY zero_rate DESC, searches DESC, query LIMIT 10",
+)
+add(
+    "analytics_latency",
+    report(lambda s, i, c: analytics.latency(s)),
+    f"WITH {LOG} SELECT count(*) AS n, round(avg(latency_ms), 6) AS avg, min(latency_ms) AS min, max(latency_ms) AS max, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95, round(quantile_cont(latency_ms, 0.99), 6) AS p99 FROM se",
+)
+add(
+    "latency_nearest_rank",
+    report(lambda s, i, c: analytics.nearest_rank(s, "latency_ms", (0.5, 0.95, 0.99))),
+    f"WITH {LOG} SELECT quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95, quantile_disc(latency_ms, 0.99) AS p99 FROM se",
+)
+add(
+    "analytics_clicks",
+    report(lambda s, i, c: analytics.clicks(s, i, c)),
+    f"WITH {LOG}, a AS (SELECT count(*) AS impressions FROM im), b AS (SELECT count(*) AS clicks, round(avg(position), 6) AS avg_position FROM ok) SELECT impressions, clicks, avg_position, round(clicks / impressions, 6) AS ctr FROM a, b",
+)
+add("analytics_top_documents", report(lambda s, i, c: analytics.most_clicked(c)), f"WITH {LOG} SELECT document_id, count(*) AS clicks FROM ok GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+add("click_validation", report(lambda s, i, c: c), f"WITH {LOG} SELECT * FROM ok")
+add("session_hashes", lambda spark, sf: read_table(spark, sf, "events").select("event_id", analytics.session_hash(F.col("user_id").cast("string")).alias("session")), "SELECT event_id, sha256(user_id::VARCHAR) AS session FROM events")
+add(
+    "rate_limit",
+    lambda spark, sf: analytics.over_limit(read_table(spark, sf, "events").select(F.col("user_id").alias("key"), "ts"), 2, 3600),
+    "SELECT user_id AS key, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 2",
+)
+add(
+    "route_counters",
+    lambda spark, sf: analytics.route_counters(read_table(spark, sf, "events").select(F.col("event_type").alias("method"), (F.col("user_id") % 5).alias("route"), (F.col("event_id") % 3).alias("status"), F.col("value").alias("seconds"))).withColumn("seconds", F.round("seconds", 6)),
+    "SELECT event_type AS method, user_id % 5 AS route, event_id % 3 AS status, count(*) AS n, round(sum(value), 6) AS seconds FROM events GROUP BY ALL",
+)
+
+
+def query_suggest(spark, sf):
+    s, i, c = log(spark, sf)
+    shown = i.groupBy("search_id").agg(F.count(F.lit(1)).alias("impressions"))
+    s = s.join(shown, "search_id", "left").select("search_id", "query", "result_count", F.coalesce("impressions", F.lit(0)).alias("impressions"), F.col("created_at").alias("ts"))
+    return suggest.suggest(suggest.signals(s, c), "mach", "2024-02-01 00:00:00")
+
+
+add(
+    "query_suggest",
+    query_suggest,
+    f"""WITH {LOG}, n AS (SELECT search_id, count(*) AS shown FROM im GROUP BY 1),
+f AS (SELECT query, count(*) AS frequency, sum(shown) AS impressions, max(created_at) AS seen FROM se JOIN n USING (search_id) WHERE result_count > 0 GROUP BY 1),
+h AS (SELECT query, count(*) AS clicks FROM ok JOIN se USING (search_id) GROUP BY 1),
+r AS (SELECT query, frequency, coalesce(clicks, 0) / impressions AS ctr, ln(1 + frequency) * pow(2, -(epoch_us(TIMESTAMP '2024-02-01') - epoch_us(seen)) / 86400e6 / 30) AS d FROM f LEFT JOIN h USING (query) WHERE starts_with(query, 'mach'))
+SELECT query, round(d + ctr * 2, 6) AS score, frequency, round(ctr, 6) AS ctr FROM r ORDER BY 2 DESC, 1 LIMIT 10""",
+)

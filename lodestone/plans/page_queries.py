@@ -1 +1,133 @@
+"""Pages, URLs, crawl policy and segments."""
+
+from pyspark.sql import functions as F
+
+from lodestone.config import Field, IndexConfig, SearchOptions
+from lodestone.functions import urls
+from lodestone.operators import pages
+from lodestone.operators.suggest import autocomplete as complete
+from lodestone.operators.search import SearchIndex
+from lodestone.plans import sql
+from lodestone.sources.segments import merged_search, visible
+from lodestone.sources.tables import page_of, read_table, spread
+
 QUERIES, ORACLES = {}, {}
+
+
+def add(name, run, oracle=None):
+    QUERIES[name] = run
+    if oracle:
+        ORACLES[name] = oracle
+
+
+def table(spark, sf):
+    return read_table(spark, sf, "pages")
+
+
+def extracted(spark, sf):
+    return pages.extract(spread(table(spark, sf)))
+
+
+add("page_extract", lambda spark, sf: extracted(spark, sf).select("page_id", "page.title", "page.heading", "page.content", "page.canonical_url", "page.language", "page.content_hash"))
+add("page_links", lambda spark, sf: pages.links(extracted(spark, sf)))
+add("crawled_documents", lambda spark, sf: pages.crawled_documents(extracted(spark, sf)).select("id", "url", "content_hash"))
+add("page_dedup", lambda spark, sf: pages.deduplicate(extracted(spark, sf).select("page_id", "page.content"), "content", "page_id").select("page_id", "content_hash"))
+
+HOST = "regexp_extract(u, '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1)"
+add(
+    "url_normalize",
+    lambda spark, sf: table(spark, sf).select("page_id", urls.normalize_url(F.col("url")).alias("normal")),
+    "WITH a AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages) SELECT page_id, regexp_replace(u, '^(https?://[^/?]+)(\\?|$)', '\\1/\\2') AS normal FROM a",
+)
+add(
+    "domain_allow",
+    lambda spark, sf: table(spark, sf).select("page_id", urls.is_allowed(F.col("url"), ["example.com", ".Example.org"]).alias("allowed")),
+    f"WITH a AS (SELECT page_id, lower(url) AS u FROM pages) SELECT page_id, {HOST} IN ('example.com', 'example.org') OR suffix({HOST}, '.example.com') OR suffix({HOST}, '.example.org') AS allowed FROM a",
+)
+PRIVATE = "concat('http://', (page_id % 256)::VARCHAR, '.', (page_id * 7 % 256)::VARCHAR, '.', (page_id % 3)::VARCHAR, '.1/')"
+add(
+    "private_networks",
+    lambda spark, sf: table(spark, sf).select("page_id", urls.is_private(F.concat(F.lit("http://"), F.concat_ws(".", F.col("page_id") % 256, F.col("page_id") * 7 % 256, F.col("page_id") % 3, F.lit(1)), F.lit("/"))).alias("private")),
+    """WITH a AS (SELECT page_id, page_id % 256 AS a, page_id * 7 % 256 AS b, page_id % 3 AS c FROM pages)
+SELECT page_id, a IN (0, 10, 127) OR (a = 169 AND b = 254) OR (a = 192 AND b = 168) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 198 AND b IN (18, 19)) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) OR a BETWEEN 224 AND 239 AS private FROM a""",
+)
+ROBOTS = "User-agent: *\nDisallow: /en/\nAllow: /en/1\nDisallow: /en/12\n\nUser-agent: other\nDisallow: /\n"
+add(
+    "robots_allowed",
+    lambda spark, sf: table(spark, sf).select("page_id", urls.robots_allowed(F.col("url"), urls.Robots(ROBOTS).rules("crawler")).alias("allowed")),
+    "WITH a AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS p FROM pages) SELECT page_id, NOT (starts_with(p, '/en/') AND (starts_with(p, '/en/12') OR NOT starts_with(p, '/en/1'))) AS allowed FROM a",
+)
+add("pages_by_host", lambda spark, sf: pages.by_host(table(spark, sf)), f"WITH a AS (SELECT lower(url) AS u FROM pages) SELECT {HOST} AS host, count(*) AS pages FROM a GROUP BY 1")
+add(
+    "host_cap",
+    lambda spark, sf: pages.first_pages(table(spark, sf), 3).select("page_id", "url"),
+    f"WITH a AS (SELECT page_id, url, lower(url) AS u FROM pages) SELECT page_id, url FROM a QUALIFY row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) <= 3",
+)
+add(
+    "content_dedup",
+    lambda spark, sf: pages.deduplicate(read_table(spark, sf, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id", "content_hash"),
+    "SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents WHERE text <> '' GROUP BY sha256(text)",
+)
+add(
+    "block_compaction",
+    lambda spark, sf: spread(read_table(spark, sf, "documents")).select("doc_id", F.size(pages.compact_blocks(F.split("text", "\n"))).cast("long").alias("n_blocks")),
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+c AS (SELECT doc_id, i, trim(regexp_replace(x, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS x FROM l), k AS (SELECT * FROM c WHERE x <> ''),
+p AS (SELECT doc_id, x, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM k)
+SELECT d.doc_id, count(p.x) FILTER (WHERE p.b IS NULL OR p.b <> p.x) AS n_blocks FROM documents d LEFT JOIN p USING (doc_id) GROUP BY 1""",
+)
+
+
+def crawl_frontier(spark, sf):
+    """Links from page n to pages 2n + 1 and 2n + 2."""
+    p = table(spark, sf).select("page_id", F.concat(F.lit("http://h/"), F.col("page_id")).alias("url"))
+    links = p.select("url", F.explode(F.array(F.concat(F.lit("http://h/"), 2 * F.col("page_id") + 1), F.concat(F.lit("http://h/"), 2 * F.col("page_id") + 2))).alias("link"))
+    return pages.frontier(links, p.where("page_id = 0").select("url"), 4)
+
+
+add(
+    "crawl_frontier",
+    crawl_frontier,
+    "WITH RECURSIVE f(n, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT l.n, f.depth + 1 FROM f JOIN (SELECT page_id AS p, 2 * page_id + 1 AS n FROM pages UNION ALL SELECT page_id, 2 * page_id + 2 FROM pages) l ON l.p = f.n WHERE f.depth < 4) SELECT 'http://h/' || n AS url, depth FROM f",
+)
+add(
+    "catalog_page",
+    lambda spark, sf: page_of(read_table(spark, sf, "documents").select("doc_id", "source"), [F.desc("doc_id")], 20, 40),
+    "SELECT doc_id, source FROM documents ORDER BY doc_id DESC LIMIT 20 OFFSET 40",
+)
+
+# segments: all documents are of generation 1, those divisible by 3 come again in 2 with another text, those divisible by 5 are deleted at 1, those by 30 at 2
+
+CONFIG = IndexConfig({"text": Field(searchable=True)})
+
+
+def segments(spark, sf):
+    d = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
+    again = d.where("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("renewed "), "text"))
+    rows = d.withColumn("generation", F.lit(1)).unionByName(again.withColumn("generation", F.lit(2)))
+    dead = d.where("doc_id % 5 = 0").select("doc_id", F.lit(1).alias("generation")).unionByName(d.where("doc_id % 30 = 0").select("doc_id", F.lit(2).alias("generation")))
+    return rows, dead
+
+
+SEGMENTS = """sg AS (SELECT doc_id, text, 1 AS generation FROM documents UNION ALL SELECT doc_id, 'renewed ' || text, 2 FROM documents WHERE doc_id % 3 = 0),
+vs AS (SELECT doc_id, text, generation FROM sg WHERE CASE WHEN doc_id % 3 = 0 THEN generation = 2 AND doc_id % 30 <> 0 ELSE doc_id % 5 <> 0 END)"""
+add("segment_visible", lambda spark, sf: visible(*segments(spark, sf), "doc_id").select("doc_id", "generation"), f"WITH {SEGMENTS} SELECT doc_id, generation FROM vs")
+add("segment_compact", lambda spark, sf: visible(*segments(spark, sf), "doc_id").select("doc_id", F.md5("text").alias("digest")), f"WITH {SEGMENTS} SELECT doc_id, md5(text) AS digest FROM vs")
+add(
+    "segment_search_merged",
+    lambda spark, sf: merged_search(*segments(spark, sf), CONFIG, "renewed this", SearchOptions(), "doc_id").select("doc_id", "score"),
+    f"WITH {SEGMENTS}, {sql.scores('vs', 'doc_id', {'text': 1.0}, [('renewed', 'renewed', 1), ('this', 'this', 1)])} SELECT id AS doc_id, round(score, 6) AS score FROM base ORDER BY 2 DESC, 1 LIMIT 10",
+)
+PER = " UNION ALL ".join(
+    f"(WITH g{g} AS (SELECT doc_id, text FROM sg WHERE generation = {g}), {sql.scores(f'g{g}', 'doc_id', {'text': 1.0}, [('renewed', 'renewed', 1), ('this', 'this', 1)])} SELECT id AS doc_id, score, {g} AS generation FROM base)" for g in (1, 2)
+)
+add(
+    "segment_search_local",
+    lambda spark, sf: merged_search(*segments(spark, sf), CONFIG, "renewed this", SearchOptions(), "doc_id", per_segment=True).select("doc_id", "score"),
+    f"WITH {SEGMENTS}, u AS ({PER}) SELECT doc_id, round(score, 6) AS score FROM u SEMI JOIN vs USING (doc_id, generation) ORDER BY 2 DESC, 1 LIMIT 10",
+)
+add(
+    "segment_autocomplete",
+    lambda spark, sf: complete(SearchIndex(visible(*segments(spark, sf), "doc_id"), CONFIG, "doc_id").vocabulary(), "re"),
+    f"WITH {SEGMENTS}, {sql.live('t', 'vs', 'doc_id', 'text')} SELECT term, count(DISTINCT id) AS df FROM t WHERE starts_with(term, 're') GROUP BY term ORDER BY df DESC, term LIMIT 10",
+)
