@@ -39,6 +39,8 @@ class LineRules:
     min_open_words: int = 8
     #: A line with one of the boilerplate phrases fails if it has no more words than this.
     max_boilerplate_words: int = 40
+    #: A line fails if it has more of the characters #*$%&|<> than this, for each word.
+    max_symbols_per_word: float = 0.5
     #: A document is rejected if more than this share of its word characters goes with its failing lines.
     max_lost_share: float = 0.5
 
@@ -47,6 +49,7 @@ def _line_fails(line: Column, n: Column, rules: LineRules) -> Column:
     """Patterns are anchored or tried on short lines only, so that a very long line costs no more than its length."""
     return (
         ((n < rules.min_open_words) & ~F.right(F.trim(line, F.lit(SPACES)), F.lit(1)).rlike(TERMINAL))
+        | (F.length(F.regexp_replace(line, SYMBOLS, "")) > rules.max_symbols_per_word * n)
         | line.rlike(ALL_MARKS)
         | line.rlike(SEPARATORS)
         | ((n <= rules.max_boilerplate_words) & line.rlike(NAVIGATION))
@@ -124,7 +127,7 @@ r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i +
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
 n AS (SELECT doc_id, line, len(list_filter(regexp_split_to_array(line, '{blank}+'), lambda x: x <> '')) AS nw, length(regexp_replace(line, '{blank}', '', 'g')) AS nc FROM l),
 f AS (SELECT doc_id, line, nc, (NOT regexp_matches(right(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1), '{q(TERMINAL)}') AND nw < {rules.min_open_words})
-  OR regexp_matches(line, '{q(ALL_MARKS)}') OR regexp_matches(line, '{q(SEPARATORS)}')
+  OR length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > {rules.max_symbols_per_word} * nw OR regexp_matches(line, '{q(ALL_MARKS)}') OR regexp_matches(line, '{q(SEPARATORS)}')
   OR (nw <= {rules.max_boilerplate_words} AND regexp_matches(line, '{q(NAVIGATION)}'))
   OR (nw <= {rules.max_boilerplate_words} AND regexp_matches(line, '{q(BOILERPLATE)}')) AS fails FROM n WHERE nw > 0),
 d AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(nc) FILTER (WHERE fails), 0) AS lost FROM f GROUP BY doc_id),

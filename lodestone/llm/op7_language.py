@@ -27,7 +27,8 @@ SAMPLE_PER_LANG = 600
 #: Languages beyond this many, the rarest, are not learned.
 MAX_LANGS = 400
 CLUSTERS = 4
-REJECT = 0.5
+#: Far below what even one-word texts reach; only texts unlike every language are farther.
+REJECT = 0.3
 _CHARS = 1 << 18
 _letters = None
 
