@@ -8,6 +8,7 @@ will do. Compaction writes the new segment, swaps the manifest, and only then de
 import json
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -140,7 +141,12 @@ class SegmentStore:
 
     def valid(self, target: str) -> bool:
         made = json.loads(self._read_text(f"{target}/snapshot.json"))
-        return made["files"] == (self._digests(f"{target}/data") if made["files"] else {})
+        try:
+            return made["files"] == (self._digests(f"{target}/data") if made["files"] else {})
+        except Py4JJavaError as e:  # the file system found the damage itself
+            if "ChecksumException" in str(e):
+                return False
+            raise
 
     def restore(self, target: str) -> None:
         """The store as the snapshot has it; nothing changes unless the snapshot is whole."""
