@@ -16,7 +16,7 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class TokenizerOptions:
-    """Text analysis. normalization other than None runs in an Arrow UDF; the rest is native."""
+    """Text analysis, of documents and queries alike. normalization: None leaves texts as they are."""
 
     lowercase: bool = True
     punctuation: str = "replace"
@@ -26,7 +26,7 @@ class TokenizerOptions:
     #: (shortest, longest) n-gram, and what joins its words.
     ngrams: tuple[int, int] | None = None
     separator: str = " "
-    normalization: str | None = None
+    normalization: str | None = "NFKC"
 
     def __post_init__(self):
         if self.punctuation not in ("replace", "remove", "preserve"):

@@ -1,8 +1,8 @@
 """Text analysis as Column expressions.
 
 White space is that of Unicode, and punctuation the classes P and S. Positions are counted before stop words
-go, so gaps stay visible to phrases. Everything is native but Unicode normalization, for text that isn't
-normal yet, which is an Arrow UDF.
+go, so gaps stay visible to phrases. Everything is native but Unicode normalization, an Arrow UDF that is given
+only the texts that aren't proved normal by their characters alone.
 """
 
 import unicodedata
@@ -18,14 +18,23 @@ WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{2
 PUNCTUATION = r"[\p{P}\p{S}]"
 SPACES = frozenset(map(chr, [*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 DEFAULT = TokenizerOptions()
+#: Characters that NFC and NFKC leave alone next to any others of them: not all, but those of most texts in Latin, Greek, Cyrillic, Han and kana.
+INERT = (
+    r"\x{0}-\x{9F}\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{180}-\x{1C3}\x{1CD}-\x{1F0}\x{1F4}-\x{2AF}"
+    r"\x{386}\x{388}-\x{38A}\x{38C}\x{38E}-\x{3A1}\x{3A3}-\x{3CF}\x{400}-\x{482}\x{48A}-\x{52F}\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}\x{2030}-\x{2032}\x{2039}-\x{203B}\x{20AC}"
+    r"\x{3001}-\x{3029}\x{3041}-\x{3096}\x{30A1}-\x{30FE}\x{4E00}-\x{9FFF}"
+)
 
 
 def normalize_unicode(text: Column, form: str = "NFKC") -> Column:
+    """text in the form; only rows with a character beyond those that prove it normal hand their text to Python."""
+
     @F.pandas_udf("string")
     def normalized(s: pd.Series) -> pd.Series:
         return s.map(lambda x: x if x is None or unicodedata.is_normalized(form, x) else unicodedata.normalize(form, x))
 
-    return normalized(text)
+    inert = INERT if form in ("NFC", "NFKC") else r"\x{0}-\x{7F}"
+    return F.coalesce(normalized(F.when(text.rlike(f"[^{inert}]"), text)), text)
 
 
 def handle_punctuation(text: Column, mode: str = "replace") -> Column:
@@ -87,6 +96,11 @@ def tokenize(text: Column, options: TokenizerOptions = DEFAULT) -> Column:
     return remove_stop_words(raw_tokens(text, options), options.stop_words)
 
 
+def bound(value: Column, made) -> Column:
+    """made(value), with value worked out once and outside of made's own lambdas, where no UDF may stand."""
+    return F.get(F.transform(F.array(value), made), 0)
+
+
 def _starts(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
 
@@ -94,19 +108,19 @@ def _starts(tokens: Column, n: int) -> Column:
 def ngrams(tokens: Column, shortest: int, longest: int, separator: str = " ") -> Column:
     """All n-grams, shorter ones first."""
     TokenizerOptions(ngrams=(shortest, longest))
-    one = lambda n: F.transform(_starts(tokens, n), lambda i: F.array_join(F.slice(tokens, i + 1, n), separator))
-    return reduce(F.concat, [one(n) for n in range(shortest, longest + 1)])
+    one = lambda t, n: F.transform(_starts(t, n), lambda i: F.array_join(F.slice(t, i + 1, n), separator))
+    return bound(tokens, lambda t: reduce(F.concat, [one(t, n) for n in range(shortest, longest + 1)]))
 
 
 def ngram_structs(tokens: Column, shortest: int, longest: int, separator: str = " ") -> Column:
-    def one(n):
+    def one(t, n):
         def at(i):
-            part = F.slice(tokens, i + 1, n)
+            part = F.slice(t, i + 1, n)
             return F.struct(F.array_join(F.transform(part, lambda x: x["token"]), separator).alias("token"), F.get(part, 0)["position"].alias("position"))
 
-        return F.transform(_starts(tokens, n), at)
+        return F.transform(_starts(t, n), at)
 
-    return reduce(F.concat, [one(n) for n in range(shortest, longest + 1)])
+    return bound(tokens, lambda t: reduce(F.concat, [one(t, n) for n in range(shortest, longest + 1)]))
 
 
 def escape_html(text: Column) -> Column:
@@ -125,6 +139,13 @@ class Analyzer:
     def _space(c: str) -> bool:
         return c in SPACES
 
+    def _normal(self, text: str) -> str:
+        return unicodedata.normalize(self.options.normalization, text) if self.options.normalization else text
+
+    def _joined(self, before: str, c: str) -> bool:
+        """Whether c is normalized together with what stands before it: marks, and what composes without being one."""
+        return c >= "\u0300" and (unicodedata.combining(c) > 0 or self._normal(before + c) != self._normal(before) + self._normal(c))
+
     def spans(self, text: str) -> list[tuple[str, int, int, int]]:
         """(token, position, start, end) in characters of text, stop words left out."""
         o, out, word, start, end, position = self.options, [], [], 0, 0, 0
@@ -141,9 +162,9 @@ class Analyzer:
         i = 0
         while i < len(text):
             j = i + 1
-            while j < len(text) and unicodedata.combining(text[j]):
+            while j < len(text) and self._joined(text[i:j], text[j]):
                 j += 1
-            for c in unicodedata.normalize(o.normalization or "NFKC", text[i:j]):
+            for c in self._normal(text[i:j]):
                 c = c.lower() if o.lowercase else c
                 mark = unicodedata.category(c[0])[0] in "PS"
                 if self._space(c) or mark and o.punctuation == "replace":
@@ -163,7 +184,7 @@ class Analyzer:
     def key(self, text: str) -> str:
         """normalize_token of one string."""
         o = self.options
-        text = unicodedata.normalize(o.normalization or "NFKC", text)
+        text = self._normal(text)
         text = text.lower() if o.lowercase else text
         if o.punctuation != "preserve":
             text = "".join((" " if o.punctuation == "replace" else "") if unicodedata.category(c)[0] in "PS" else c for c in text)

@@ -1,8 +1,13 @@
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.config import TokenizerOptions
+from lodestone.config import Field, IndexConfig, SearchOptions, TokenizerOptions, TypoTolerance
 from lodestone.functions import scoring, text, urls
+from lodestone.operators.search import SearchIndex
+from lodestone.operators.suggest import autocomplete
 
 
 def tokens(spark, s, options=text.DEFAULT):
@@ -76,3 +81,46 @@ def test_robots():
     assert [rules.allowed(f"http://h{p}", "bot") for p in ("/", "/private/x", "/private/open/y")] == [True, False, True]
     assert not rules.allowed("http://h/", "Special/1.0") and rules.delay_ms("bot") == 2000 and rules.delay_ms("other") is None
     assert urls.Robots("").allowed("http://h/", "x")
+
+
+def test_texts_are_normalized_by_default(spark):
+    """NFD, full-width letters, ligatures, jamo, half-width kana: terms are those of the NFKC text, and the query's."""
+    nfc = ["Café crème", "AI models", "fine flow office", "한국어 문서", "ガイド", "plain ascii", "Größe – naïve", "x2 no", None, ""]
+    odd = ["Cafe\u0301 cre\u0300me", "ＡＩ　ｍｏｄｅｌｓ", "ﬁne ﬂow oﬃce", unicodedata.normalize("NFD", "한국어 문서"), "ｶﾞイド", "plain ascii", "Größe – naïve", "x² №", None, ""]
+    rows = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(nfc, odd))], "doc_id int, a string, b string")
+    got = rows.select("a", "b", text.tokenize(F.col("a")).alias("x"), text.tokenize(F.col("b")).alias("y"), text.normalize_token(F.col("b")).alias("k"), text.normalize_unicode(F.col("b"), "NFD").alias("d"), text.tokenize(F.col("b"), TokenizerOptions(normalization=None)).alias("raw")).collect()
+    for r in got:
+        assert r.x == r.y
+        assert r.d == (None if r.b is None else unicodedata.normalize("NFD", r.b))
+        if r.b is not None:
+            assert text.Analyzer().tokens(r.b) == r.y and text.Analyzer().key(r.b) == r.k
+            assert text.Analyzer(TokenizerOptions(normalization=None)).tokens(r.b) == r.raw
+    assert got[1].raw == ["ａｉ", "ｍｏｄｅｌｓ"]
+
+
+def test_queries_find_texts_that_are_not_normal(spark, tmp_path):
+    from lodestone.registry import QUERIES
+
+    texts = ["Cafe\u0301 this ＡＩ", "café ai", "plain this"]
+    spark.createDataFrame(enumerate(texts), "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sf = str(tmp_path)
+    assert {r.doc_id: r.tokens for r in QUERIES["tokenize_default"](spark, sf).collect()} == {0: "café this ai", 1: "café ai", 2: "plain this"}
+    assert {(r.doc_id, r.position, r.token) for r in QUERIES["tokenize_positions"](spark, sf).where("doc_id = 0").collect()} == {(0, 0, "café"), (0, 1, "this"), (0, 2, "ai")}
+    assert {r.term: r.df for r in QUERIES["doc_freq"](spark, sf).collect()} == {"café": 2, "ai": 2, "this": 2, "plain": 1}
+    assert {(r.term, r.doc_id, r.positions) for r in QUERIES["postings"](spark, sf).where("term = 'ai'").collect()} == {("ai", 0, "2"), ("ai", 1, "1")}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    index = SearchIndex(docs, IndexConfig({"text": Field(searchable=True)}), "doc_id")
+    for options in (SearchOptions(), SearchOptions(ranking="tfidf"), SearchOptions(typo=TypoTolerance()), SearchOptions(proximity=True)):
+        assert {r.doc_id for r in index.search("Cafe\u0301 ai", options).collect()} == {0, 1}
+    assert {r.doc_id for r in index.search('"this ＡＩ"', SearchOptions()).collect()} == {0}
+    assert [tuple(r) for r in autocomplete(index.vocabulary(), "caf").collect()] == [("café", 2)]
+
+
+def test_inert_characters():
+    """None of them changes, is a mark or composes with what stands before it."""
+    inert = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), text.INERT) + "]")
+    second = {chr(int(d[1], 16)) for k in range(0x110000) if len(d := unicodedata.decomposition(chr(k)).split()) == 2 and not d[0].startswith("<")}
+    found = [chr(k) for k in range(0x110000) if inert.match(chr(k))]
+    assert len(found) > 20_000
+    for c in found:
+        assert unicodedata.normalize("NFKC", c) == unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c) and c not in second
