@@ -5,8 +5,8 @@ places, with sublinear term frequency, inverse document frequency and unit lengt
 vectors are clustered by spherical k-means; a text gets the language of the most similar centroid and is
 rejected if it is farther from it than that language's own texts are (REJECT of their low quantile).
 
-The model is fitted on at most about SAMPLE_PER_LANG labelled rows a language, those with the least text
-hashes; it learns from text and label alone. Its size is bounded: languages * CLUSTERS * DIMS.
+The model is fitted on at most about SAMPLE_PER_LANG labelled texts a language, those with the least text
+hashes, each once however many copies it has; it learns from text and label alone. Its size is bounded: languages * CLUSTERS * DIMS.
 
 Defined results: null texts and texts without a letter are und with score 0, not rejected by distance but
 for want of a language; rows without a label are not learned from; with nothing to learn from all are und;
@@ -108,14 +108,16 @@ def _cluster(clusters, idf):
 
 def fit(rows: DataFrame, per_lang: int = SAMPLE_PER_LANG, clusters: int = CLUSTERS):
     """A model (langs, centroids, low, idf) from rows(lang, text); None if there is nothing to learn from."""
-    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    # copies of a text, which are drawn together, are one candidate
+    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
+    sizes = rows.select("lang", "h").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     if not sizes:
         return None
     # a row is taken if its hash, uniform from 0 to 1, is below 1.2 times the share wanted of its language
     share = F.create_map(*[F.lit(v) for r in sizes for v in (r.lang, min(1.0, 1.2 * per_lang / r["count"]))])
-    unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = stored(rows.where(unit < F.try_element_at(share, F.col("lang"))).select("lang", "text").mapInArrow(_sparse, "lang string, at array<int>, n array<bigint>"), "op7-sample")
+    unit = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    drawn = rows.where(unit < F.try_element_at(share, F.col("lang"))).dropDuplicates(["lang", "h"])
+    sample = stored(drawn.select("lang", "text").mapInArrow(_sparse, "lang string, at array<int>, n array<bigint>"), "op7-sample")
     df = np.zeros(DIMS)
     total = sample.count()
     if not total:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pyarrow.parquet as pq
 import tiktoken
@@ -33,6 +34,21 @@ def test_language_odd_rows(spark):
     assert op7_language.identify(rows.limit(0), model).collect() == []
 
 
+def same_model(a, b):
+    return a[0] == b[0] and all(np.array_equal(x, y) for x, y in zip(a[1:], b[1:]))
+
+
+def test_language_copies_are_one_candidate(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    once = [(" ".join(word() for _ in range(9)), f"l{k % 8}") for k in range(24)]
+    copies = once + [t for t in once[:8] for _ in range(100)]
+    kinds = "text string, lang string"
+    got = op7_language.fit(spark.createDataFrame(copies, kinds), per_lang=5)
+    assert set(got[0]) == {f"l{k}" for k in range(8)}
+    assert same_model(got, op7_language.fit(spark.createDataFrame(once, kinds), per_lang=5))
+
+
 def give(nodes, budget):
     """Whole-number water filling of {name: (weight, cap)}."""
     out, open_ = {}, dict(nodes)
