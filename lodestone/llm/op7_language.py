@@ -6,7 +6,9 @@ vectors are clustered by spherical k-means; a text gets the language of the most
 rejected if it is farther from it than that language's own texts are (REJECT of their low quantile).
 
 The model is fitted on at most about SAMPLE_PER_LANG labelled texts a language, those with the least text
-hashes, each once however many copies it has; it learns from text and label alone. Its size is bounded: languages * CLUSTERS * DIMS.
+hashes, each once however many copies it has; it learns from text and label alone. Every label with a letter in its texts is learned; many
+labels have fewer centroids each (MAX_CENTROIDS), so that the size is at most the greater of MAX_CENTROIDS and
+the number of labels, times DIMS.
 
 Defined results: null texts and texts without a letter are und with score 0, not rejected by distance but
 for want of a language; rows without a label are not learned from; with nothing to learn from all are und;
@@ -24,9 +26,9 @@ from lodestone.llm.common import read_table, stored
 NAME = "op7_language_id"
 DIMS = 1 << 13
 SAMPLE_PER_LANG = 600
-#: Languages beyond this many, the rarest, are not learned.
-MAX_LANGS = 400
 CLUSTERS = 4
+#: Centroids of all languages together up to which each has CLUSTERS; beyond, each has fewer, and one at least.
+MAX_CENTROIDS = 1600
 #: Far below what even one-word texts reach; only texts unlike every language are farther.
 REJECT = 0.3
 _CHARS = 1 << 18
@@ -110,13 +112,10 @@ def fit(rows: DataFrame, per_lang: int = SAMPLE_PER_LANG, clusters: int = CLUSTE
     """A model (langs, centroids, low, idf) from rows(lang, text); None if there is nothing to learn from."""
     # copies of a text, which are drawn together, are one candidate
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
-    sizes = rows.select("lang", "h").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not sizes:
-        return None
+    sizes = stored(rows.select("lang", "h").distinct().groupBy("lang").count(), "op7-sizes")
     # a row is taken if its hash, uniform from 0 to 1, is below 1.2 times the share wanted of its language
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r.lang, min(1.0, 1.2 * per_lang / r["count"]))])
     unit = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.where(unit < F.try_element_at(share, F.col("lang"))).dropDuplicates(["lang", "h"])
+    drawn = rows.join(F.broadcast(sizes), "lang").where(unit < 1.2 * per_lang / F.col("count")).dropDuplicates(["lang", "h"])  # sizes: a row a label
     sample = stored(drawn.select("lang", "text").mapInArrow(_sparse, "lang string, at array<int>, n array<bigint>"), "op7-sample")
     df = np.zeros(DIMS)
     total = sample.count()
@@ -125,8 +124,12 @@ def fit(rows: DataFrame, per_lang: int = SAMPLE_PER_LANG, clusters: int = CLUSTE
     for r in sample.select(F.explode("at").alias("at")).groupBy("at").count().collect():
         df[r["at"]] = r["count"]
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    got = sorted(sample.groupBy("lang").applyInArrow(_cluster(clusters, idf), "lang string, centroid array<float>, low double").collect(), key=lambda r: (r.lang, r.centroid))
-    return [r.lang for r in got], np.array([r.centroid for r in got], np.float32), np.array([r.low for r in got]), idf
+    clusters = max(1, min(clusters, MAX_CENTROIDS // sample.select("lang").distinct().count()))
+    got = sample.groupBy("lang").applyInArrow(_cluster(clusters, idf), "lang string, centroid array<float>, low double").toArrow()
+    langs, low = got.column("lang").to_pylist(), got.column("low").to_numpy()
+    centroids = np.concatenate([c.flatten().to_numpy() for c in got.column("centroid").chunks]).reshape(-1, DIMS)
+    order = sorted(range(len(langs)), key=lambda k: (langs[k], centroids[k].tobytes()))
+    return [langs[k] for k in order], centroids[order], low[order], idf
 
 
 def _predict(model):

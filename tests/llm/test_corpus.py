@@ -49,6 +49,18 @@ def test_language_copies_are_one_candidate(spark):
     assert same_model(got, op7_language.fit(spark.createDataFrame(once, kinds), per_lang=5))
 
 
+def test_language_learns_every_label(spark, monkeypatch):
+    name = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(3))
+    rows = spark.createDataFrame([(name(k) * 3, name(k)) for k in range(430)], "text string, lang string")
+    model = op7_language.fit(rows)
+    assert model[0] == sorted(name(k) for k in range(430))
+    assert all(r.lang == r.lang_pred for r in op7_language.identify(rows, model).collect())
+    two = spark.createDataFrame([(f"{w} {x}", w) for w in ("aaa", "bbb") for x in ("c", "d", "e", "f")], "text string, lang string")
+    assert len(op7_language.fit(two)[0]) == 8
+    monkeypatch.setattr(op7_language, "MAX_CENTROIDS", 1)
+    assert op7_language.fit(two)[0] == ["aaa", "bbb"]
+
+
 def give(nodes, budget):
     """Whole-number water filling of {name: (weight, cap)}."""
     out, open_ = {}, dict(nodes)
