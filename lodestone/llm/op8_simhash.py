@@ -66,7 +66,8 @@ def _fingerprints(size):
                 data = data.tobytes()
                 for k in range(n):
                     out[i + k] = fingerprint(data[offsets[k] : offsets[k + 1]], size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["id", "fp"])
+            own = [batch.column(k) for k in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(out.view(np.int64))], [*batch.schema.names[:-1], "fp"])
 
     return run
 
@@ -186,17 +187,21 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT
     return edges
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id: str = "doc_id", text: str = "text", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """(id, fp, component_id) of each row of docs."""
-    fps = docs.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    fps = stored(fps.mapInArrow(_fingerprints(shingle), "id bigint, fp bigint"), "op8-fingerprints")
+def _classes(fps: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
+    """(fp, root, component_id) of each fingerprint of fps(id, fp); components that share an id have roots of their own."""
     nodes = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "op8-nodes")
     root = components(links(nodes.select("fp"), radius, bucket_limit))
     named = nodes.join(root, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = stored(named, "op8-roots")
     least = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "op8-names")
-    named = stored(named.join(least, "root").select("fp", "component_id"), "op8-classes")
-    return fps.join(named, "fp").select("id", "fp", "component_id")
+    return stored(named.join(least, "root").select("fp", "root", "component_id"), "op8-classes")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id: str = "doc_id", text: str = "text", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """(id, fp, component_id) of each row of docs."""
+    fps = docs.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    fps = stored(fps.mapInArrow(_fingerprints(shingle), "id bigint, fp bigint"), "op8-fingerprints")
+    return fps.join(_classes(fps, radius, bucket_limit), "fp").select("id", "fp", "component_id")
 
 
 def hex16(fp):
@@ -204,10 +209,15 @@ def hex16(fp):
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs without all but one document, that with the smallest id, of each group; rows without an id all stay."""
-    kept = near_duplicates(docs, radius).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """docs without all but one row of each group: that with the smallest id, a null id last, and of those the smallest hash of the row."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumn("__row", F.xxhash64(*own, *[c.isNull() for c in own]))
+    fps = rows.select(F.col("doc_id").alias("id"), F.col("__row").alias("row"), F.coalesce("text", F.lit("")).alias("t"))
+    fps = stored(fps.mapInArrow(_fingerprints(SHINGLE), "id bigint, row bigint, fp bigint"), "op8-fingerprints")
+    of = fps.join(_classes(fps, radius, BUCKET_LIMIT).select("fp", "root"), "fp")
+    kept = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("k")).select("k.id", "k.row")
+    out = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("__row") == F.col("row")), "left_semi")
+    return out.dropDuplicates(["doc_id", "__row"]).select(*own)
 
 
 def query(spark, sf_dir):

@@ -91,3 +91,12 @@ def test_documents(spark):
     kept = sorted(x.doc_id for x in keep_one(docs).where(F.col("doc_id").isNotNull()).collect())
     assert kept == sorted(set(least.values()))
     assert keep_one(docs.limit(0)).collect() == []
+
+
+def test_keep_one_of_shared_and_null_ids(spark):
+    r = random.Random(9)
+    a, b, c, d = (" ".join("w%d" % r.randrange(900) for _ in range(80)) for _ in range(4))
+    rows = [(5, a), (5, b), (3, a), (None, b), (None, c), (None, c), (7, d), (7, d), (8, None), (None, "")]
+    for k in range(3):
+        docs = spark.createDataFrame(r.sample(rows, len(rows)), "doc_id bigint, text string").repartition(k + 1)
+        assert sorted(map(tuple, keep_one(docs).collect()), key=str) == sorted([(3, a), (5, b), (None, c), (7, d), (8, None)], key=str)
