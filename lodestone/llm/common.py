@@ -1,10 +1,13 @@
 """What the operators share: reading tables, the shared folder, words, salted joins."""
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +23,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (tests, one machine) a temporary folder is made and set as the
-    checkpoint folder; it goes when the process ends.
+    Only where the session names none and all of Spark is one process (tests) a temporary folder is made and
+    set as the checkpoint folder; it goes when the process ends. On a cluster without the setting: an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, named[7:], True)
         spark.conf.set("spark.checkpoint.dir", named)
@@ -51,6 +56,38 @@ def drop_stored(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(columns, *names: str) -> list[str]:
+    """names, each with underscores before it until no column has it, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def ddl(df: DataFrame, columns=None) -> str:
+    """The schema of df's columns, or of some, as mapInArrow takes it."""
+    some = None if columns is None else set(columns)
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields if some is None or f.name in some)
+
+
+def col(name: str) -> Column:
+    """The column of just this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def give_back() -> None:
+    """At the end of a task: memory that this worker no longer uses goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def words(text: Column) -> Column:
     """Maximal runs of characters other than the six spaces, in order; null or blank text: no words."""
     bare = F.trim(text, F.lit(SPACES))

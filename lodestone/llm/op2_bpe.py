@@ -1,11 +1,10 @@
 """Byte-level BPE: encoding by ranks, one pre-token at a time, and decoding by joining pieces.
 
-Two forms with the same results. encode_native is the method in DataFrame functions alone: the distinct
-pre-tokens of the corpus are encoded once each by a fold over the word's byte ids that merges, again and
-again, the leftmost pair of lowest rank, looked up in a literal rank map (row displacement: two array reads
-a pair); documents then join their pre-tokens' ids by word. That join shuffles every pre-token of the corpus,
-several times the input, so the query takes encoded(): each worker encodes the distinct words that it meets
-by the same ranked merges, keeps them in a table of bounded size, and nothing is shuffled.
+Two forms with the same results. encode_native is the method in DataFrame functions alone: inside each row, the
+distinct pre-tokens of every CHUNK of them are encoded once each by a fold over the word's byte ids that merges,
+again and again, the leftmost pair of lowest rank, looked up in a literal rank map (row displacement: three array
+reads a pair); nothing is shuffled. encoded() does the same merges in Arrow batches: each task encodes the
+distinct words that it meets and keeps them in a table of at most CACHED_BYTES, which ends with the task.
 
 Defined results: null and empty texts have no ids and decode to no bytes; rows are encoded one by one, so
 ids may repeat or be null; a text of any length is held one row at a time; extra columns stay, those that
@@ -25,12 +24,17 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read_table
+from lodestone.llm.common import col, ddl, fresh, give_back, read_table
 
 NAME = "op2_byte_bpe"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Words that a worker keeps, and the longest that it keeps, in characters.
-CACHED, LONGEST = 1 << 19, 64
+#: Bytes of the words that a task keeps, with what a table's entry costs, and the longest word that it keeps, in characters.
+CACHED_BYTES, LONGEST = 16 << 20, 64
+_ENTRY = 250
+#: Rows whose ids are handed on together.
+_ROWS = 256
+#: Pre-tokens of a row among which distinct ones are encoded once, in the native form.
+CHUNK = 256
 _NONE = 1 << 30
 #: Words up to this many bytes are merged without a heap.
 _SHORT = 40
@@ -46,9 +50,9 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.cache
-def pieces(path: str) -> list[bytes]:
+def pieces(path: str, table: dict[bytes, int] | None = None) -> list[bytes]:
     """Bytes by id."""
-    table = ranks(path)
+    table = ranks(path) if table is None else table
     out = [b""] * (max(table.values()) + 1)
     for piece, i in table.items():
         out[i] = piece
@@ -103,45 +107,50 @@ def merge(word: bytes, table: dict[bytes, int]) -> list[int]:
 class Words(dict):
     """Ids of words, as little-endian unsigned 32-bit integers; encodes what it lacks."""
 
-    def __init__(self, path):
+    def __init__(self, table, room=CACHED_BYTES):
         super().__init__()
-        self.table = ranks(path)
+        self.table, self.room, self.used = table, room, 0
 
     def __missing__(self, word):
         ids = merge(word.encode(), self.table)
         packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= LONGEST:
-            if len(self) >= CACHED:
+            size = _ENTRY + 4 * len(word) + len(packed)
+            if self.used + size > self.room:
                 self.clear()
+                self.used = 0
+            self.used += size
             self[word] = packed
         return packed
 
 
-_words = {}
-
-
 def _encode(path, pattern, with_ids):
     def run(batches):
-        if path not in _words:
-            _words[path] = Words(path)
-        find, get, piece = regex.compile(pattern).findall, _words[path].__getitem__, pieces(path).__getitem__
-        for batch in batches:
-            ids, counts, shas, backs = [], [], [], []
-            for t in batch.column(batch.num_columns - 1):
-                packed = b"".join(map(get, find(t.as_py() or "")))
-                numbers = np.frombuffer(packed, "<u4")
-                back = hashlib.sha256()
-                for k in range(0, len(numbers), 1 << 16):
-                    back.update(b"".join(map(piece, numbers[k : k + (1 << 16)].tolist())))
+        table = ranks.__wrapped__(path)  # no table outlives its task
+        piece, get = pieces.__wrapped__(path, table).__getitem__, Words(table).__getitem__
+        find = regex.compile(pattern).findall
+        for whole in batches:
+            for i in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(i, _ROWS)
+                ids, counts, shas, backs = [], [], [], []
+                for t in batch.column(batch.num_columns - 1):
+                    packed = b"".join(map(get, find(t.as_py() or "")))
+                    numbers = np.frombuffer(packed, "<u4")
+                    back = hashlib.sha256()
+                    for k in range(0, len(numbers), 1 << 16):
+                        back.update(b"".join(map(piece, numbers[k : k + (1 << 16)].tolist())))
+                    if with_ids:
+                        ids.append(packed)
+                    counts.append(len(numbers))
+                    shas.append(hashlib.sha256(packed).hexdigest())
+                    backs.append(back.hexdigest())
+                made = [pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string())]
                 if with_ids:
-                    ids.append(numbers.astype(np.int32))
-                counts.append(len(numbers))
-                shas.append(hashlib.sha256(packed).hexdigest())
-                backs.append(back.hexdigest())
-            made = [pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string())]
-            if with_ids:
-                made.insert(0, pa.array(ids, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], *_MADE[1 - with_ids :]])
+                    ends = np.cumsum([0, *counts]).astype(np.int32)
+                    made.insert(0, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], *_MADE[1 - with_ids :]])
+        del table, piece, get
+        give_back()
 
     return run
 
@@ -149,9 +158,10 @@ def _encode(path, pattern, with_ids):
 def encoded(docs: DataFrame, path: str, text: str = "text", pattern: str = public_tokenizers.PATTERN, with_ids: bool = True) -> DataFrame:
     """docs with ids array<int> (if asked for), n_tokens, ids_sha256 and, of the ids decoded again, decoded_sha256."""
     own = [c for c in docs.columns if c not in _MADE]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text}`").alias("__t"))
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["ids array<int>"] * with_ids
-    return rows.mapInArrow(_encode(path, pattern, with_ids), ", ".join([*schema, "n_tokens bigint, ids_sha256 string, decoded_sha256 string"]))
+    (t,) = fresh(docs.columns, "t")
+    rows = docs.select(*map(col, own), col(text).alias(t))
+    made = "ids array<int>, " * with_ids + "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return rows.mapInArrow(_encode(path, pattern, with_ids), ", ".join(filter(None, [ddl(rows, own), made])))
 
 
 @functools.cache
@@ -181,50 +191,80 @@ def _literal(values, kind="int") -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
+def _let(value: Column, made) -> Column:
+    """made(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), made), 0)
+
+
+_NO_INTS = "array<int>"
+
+
 def encode_word(word: Column, path: str) -> Column:
-    """Ids of one pre-token."""
+    """Ids of one pre-token of a byte at least: a fold over its bytes, each step with the parts and the ranks of their pairs."""
     table = ranks(path)
     place, owner, value = _pairs(path)
     single = _literal([table[bytes([b])] for b in range(256)])
-    code = F.hex(F.encode(word, "UTF-8"))
-    n = F.octet_length(word)
-    start = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(single, F.conv(F.substring(code, 2 * i + 1, F.lit(2)), 16, 10).cast("int")))
     place_, owner_, value_ = _literal(place), _literal(owner), _literal(value)
+    none = F.array().cast(_NO_INTS)
+    code, n = F.hex(F.encode(word, "UTF-8")), F.octet_length(word)
+    bytes_ = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(single, F.conv(F.substring(code, 2 * i + 1, F.lit(2)), 16, 10).cast("int")))
 
     def rank(a: Column, b: Column) -> Column:
         at = (F.get(place_, a) + b * _STRIDE) % _SLOTS
         return F.when(F.get(owner_, at) == a, F.get(value_, at)).otherwise(_NONE)
 
-    def step(acc: Column, _: Column) -> Column:
-        found = F.transform(F.sequence(F.lit(0), F.size(acc) - 2), lambda i: rank(F.get(acc, i), F.get(acc, i + 1)))
+    def state(ids: Column) -> Column:
+        pairs = F.zip_with(F.slice(ids, 1, F.size(ids) - 1), F.slice(ids, 2, F.size(ids)), rank)
+        return F.struct(ids.alias("parts"), F.when(F.size(ids) > 1, pairs).otherwise(none).alias("ranks"))
 
-        def apply(r):
-            low = F.array_min(r)
-            at = F.array_position(r, low).cast("int")
-            return F.when(low == _NONE, acc).otherwise(F.concat(F.slice(acc, F.lit(1), at - 1), F.array(low), F.slice(acc, at + 2, F.size(acc))))
+    def merged(s: Column, low: Column, i: Column) -> Column:
+        """The state with parts i and i + 1 as one: only the ranks beside it are looked up again."""
+        p, r, size = s["parts"], s["ranks"], F.size(s["parts"])
+        left = F.when(i > 1, F.concat(F.slice(r, F.lit(1), i - 2), F.array(rank(F.get(p, i - 2), low)))).otherwise(none)
+        right = F.when(i + 1 < size, F.concat(F.array(rank(low, F.get(p, i + 1))), F.slice(r, i + 2, size))).otherwise(none)
+        parts = F.concat(F.slice(p, F.lit(1), i - 1), F.array(low), F.slice(p, i + 2, size))
+        return F.struct(parts.alias("parts"), F.concat(left, right).alias("ranks"))
 
-        return F.when(F.size(acc) < 2, acc).otherwise(F.get(F.transform(F.array(found), apply), 0))
+    def step(s: Column, _: Column) -> Column:
+        again = lambda low: F.when(low < _NONE, _let(F.array_position(s["ranks"], low).cast("int"), lambda i: merged(s, low, i))).otherwise(s)
+        return _let(F.coalesce(F.array_min(s["ranks"]), F.lit(_NONE)), again)
 
-    folded = F.aggregate(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), start, step)
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(folded)
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), _let(bytes_, state), step, lambda s: s["parts"])
 
 
 def pretokens(text: Column, pattern: str = public_tokenizers.PATTERN) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
-def encode_native(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, ids) of each row with a pre-token; ids must not repeat."""
-    tokens = docs.select(F.col(id), F.posexplode(pretokens(F.col(text))).alias("at", "word"))
-    coded = tokens.select("word").distinct().select("word", encode_word(F.col("word"), path).alias("ids"))
-    return tokens.join(coded, "word").groupBy(id).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"))
+def encode_text(text: Column, path: str, pattern: str = public_tokenizers.PATTERN) -> Column:
+    """Ids of a text: of each chunk of pre-tokens, the distinct ones are folded once and the others take theirs."""
+    none = F.array().cast(_NO_INTS)
 
+    def chunk(words: Column) -> Column:
+        coded = lambda d: F.map_from_arrays(d, F.transform(d, lambda w: encode_word(w, path)))
+        return _let(_let(F.array_distinct(words), coded), lambda m: F.flatten(F.transform(words, lambda w: m[w])))
 
-def decode_native(ids: Column, path: str) -> Column:
+    def whole(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(CHUNK))
+        return F.when(F.size(words) > 0, F.flatten(F.transform(starts, lambda i: chunk(F.slice(words, i + 1, CHUNK))))).otherwise(none)
+
+    return _let(pretokens(text, pattern), whole)
+
+
+def decode_ids(ids: Column, path: str) -> Column:
     """The bytes of a sequence of ids."""
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(_literal([p.hex() for p in pieces(path)], "string"), i)), ""))
 
 
+def encode_native(docs: DataFrame, path: str, text: str = "text", pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """encoded() in DataFrame functions alone."""
+    own = [c for c in docs.columns if c not in _MADE]
+    rows = docs.select(*map(col, own), encode_text(col(text), path, pattern).alias("ids"))
+    little = _literal([int(i).to_bytes(4, "little").hex() for i in range(len(pieces(path)))], "string")
+    packed = F.unhex(F.array_join(F.transform("ids", lambda i: F.get(little, i)), ""))
+    return rows.select(*map(col, own), "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(packed, 256).alias("ids_sha256"), F.sha2(decode_ids(F.col("ids"), path), 256).alias("decoded_sha256"))
+
+
 def query(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encoded(docs, public_tokenizers.path(VOCABULARY), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode_native(docs, public_tokenizers.path(VOCABULARY)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -50,13 +50,19 @@ def test_merges_with_and_without_heap(library):
             assert op2_bpe._merge_short(word, table) == want
 
 
-def test_native_fold(spark, library):
-    some = [t for t in texts() if len(t) < 60]
-    rows = spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string")
-    out = op2_bpe.encode_native(rows, BPE)
-    back = out.select("doc_id", "ids", op2_bpe.decode_native(F.col("ids"), BPE).alias("back")).collect()
-    assert {r.doc_id: r.ids for r in back} == {k: library.encode_ordinary(t) for k, t in enumerate(some) if t}
-    assert all(bytes(r.back) == some[r.doc_id].encode() for r in back)
+def test_native_fold(spark, library, monkeypatch):
+    monkeypatch.setattr(op2_bpe, "CHUNK", 8)
+    out = op2_bpe.encode_native(docs(spark).withColumn("own", F.col("text")), BPE)
+    assert "ArrowPython" not in out._jdf.queryExecution().toString() and "Exchange" not in out._jdf.queryExecution().toString()
+    rows = out.collect()
+    assert len(rows) == len(texts()) + 3
+    for r in rows:
+        text = r.own or ""
+        if len(text) < 1000:
+            assert r.ids == (ids := library.encode_ordinary(text))
+            assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert op2_bpe.encode_native(docs(spark).limit(0), BPE).collect() == []
 
 
 def test_counts_like_the_library(spark):
@@ -71,8 +77,16 @@ def test_counts_like_the_library(spark):
     assert op6_tokens.token_counts(docs(spark).limit(0), PIECES).collect() == []
 
 
-def test_cache_bound(monkeypatch):
-    cache = op2_bpe.Words(BPE)
-    monkeypatch.setattr(op2_bpe, "CACHED", 10)
-    assert [len(cache[f"word{i}"]) > 0 for i in range(50)] == [True] * 50
-    assert len(cache) <= 10
+def test_cache_bound():
+    cache = op2_bpe.Words(op2_bpe.ranks(BPE), 10 * (op2_bpe._ENTRY + 40))
+    for i in range(50):
+        assert len(cache[f"word{i}"]) > 0
+        assert len(cache) <= 10 and cache.used <= cache.room
+    assert cache["word1"] == cache["word1"] and len(cache["x" * 65]) and "x" * 65 not in cache
+
+
+def test_extra_columns_of_any_name(spark):
+    rows = spark.createDataFrame([("a b", 1, 2, 3)], "text string, t int, T_ int, `odd.name` int")
+    for made in (op2_bpe.encoded(rows, BPE), op2_bpe.encode_native(rows, BPE)):
+        (r,) = made.collect()
+        assert made.columns[:4] == rows.columns and tuple(r)[:4] == ("a b", 1, 2, 3) and len(r.ids) == r.n_tokens > 0
