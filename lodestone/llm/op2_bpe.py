@@ -3,7 +3,8 @@
 Two forms with the same results. encode_native is the method in DataFrame functions alone: inside each row, the
 distinct pre-tokens of every CHUNK of them are encoded once each by a fold over the word's byte ids that merges,
 again and again, the leftmost pair of lowest rank, looked up in a literal rank map (row displacement: three array
-reads a pair); nothing is shuffled. encoded() does the same merges in Arrow batches: each task encodes the
+reads a pair); nothing is shuffled, but a fold that Spark interprets takes some 13 times the time of encoded(), beyond
+what the query may take (README), so the query takes that. encoded() does the same merges in Arrow batches: each task encodes the
 distinct words that it meets and keeps them in a table of at most CACHED_BYTES, which ends with the task.
 
 Defined results: null and empty texts have no ids and decode to no bytes; rows are encoded one by one, so
@@ -267,4 +268,4 @@ def encode_native(docs: DataFrame, path: str, text: str = "text", pattern: str =
 
 def query(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_native(docs, public_tokenizers.path(VOCABULARY)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encoded(docs, public_tokenizers.path(VOCABULARY), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
