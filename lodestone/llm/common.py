@@ -10,6 +10,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The six ASCII white-space characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -39,45 +40,67 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders of the tables that stored() has written and nothing has dropped.
+_written = []
+
+
 def stored(df: DataFrame, label: str = "part") -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_stored(*frames: DataFrame) -> None:
     """Delete tables made by stored() that nothing reads any more."""
     for df in frames:
-        jvm = df.sparkSession.sparkContext._jvm
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def fresh(columns, *names: str) -> list[str]:
-    """names, each with underscores before it until no column has it, whatever its case."""
-    taken, out = {c.lower() for c in columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = "_" + name
-        taken.add(name.lower())
-        out.append(name)
+        folders = {x.rsplit("/", 1)[0].rsplit("/", 1)[1] for x in df.inputFiles()}
+        for path in [p for p in _written if p.rsplit("/", 1)[1] in folders]:
+            _delete(df.sparkSession, path)
+            _written.remove(path)
+
+
+def dropping(make):
+    """The table of make(), stored, without the tables that were stored on the way to it."""
+    before = len(_written)
+    out = make()
+    result = _written[-1] if _written[before:] else None
+    for path in _written[before:-1]:
+        _delete(out.sparkSession, path)
+    _written[before:] = [result] if result else []
     return out
 
 
-def ddl(df: DataFrame, columns=None) -> str:
-    """The schema of df's columns, or of some, as mapInArrow takes it."""
-    some = None if columns is None else set(columns)
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields if some is None or f.name in some)
-
-
 def col(name: str) -> Column:
     """The column of just this name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def packed(df: DataFrame, made, **working: Column) -> DataFrame:
+    """df's columns without those named made (whatever their case) in one struct, own, beside working columns: no names can clash."""
+    made = {c.lower() for c in made}
+    own = [col(c) for c in df.columns if c.lower() not in made]
+    return df.select((F.struct(*own) if own else F.struct(F.lit(None).cast("int").alias("none"))).alias("own"), *[c.alias(n) for n, c in working.items()])
+
+
+def unpacked(df: DataFrame, *made) -> DataFrame:
+    """The columns in own, and made."""
+    none = df.schema["own"].dataType.names == ["none"]
+    return df.select(*([] if none else ["own.*"]), *made)
+
+
+def with_own(df: DataFrame, rest: str) -> StructType:
+    """The schema of df's own and of the columns of a DDL string."""
+    return StructType([df.schema["own"], *StructType.fromDDL(rest).fields])
+
+
 def give_back() -> None:
     """At the end of a task: memory that this worker no longer uses goes back to the system."""
     gc.collect()

@@ -31,4 +31,5 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
+    drop_stored(e)
     return f.select("node", F.col("p").alias("root"))

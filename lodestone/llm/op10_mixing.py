@@ -6,8 +6,9 @@ weight, and only what they can't hold either was, one level up, dealt to the nod
 are whole numbers, found in closed form with window functions over the children of one node.
 
 A leaf with budget b over t tokens takes b // t whole epochs, and of the next one the prefix, in the order
-of md5(seed:epoch:id), whose running sum of tokens stays within what is left. The running sum is taken in two
-steps, over hash buckets and then inside the one bucket where the prefix ends, so no task orders a leaf.
+of md5(seed:epoch:id), whose running sum of tokens stays within what is left. The running sum is taken in
+steps: over 16 ** bucket_digits hash buckets, over as many inside the one where the prefix ends, and then over
+the rows of the one among those, so no task orders a leaf.
 
 Native DataFrame operations only. Defined results: null and blank texts have 0 tokens and take no budget;
 null language or source is its own node, named (none); sources that the tree doesn't name are of domain other;
@@ -20,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read_table, stored, words
+from lodestone.llm.common import col, drop_stored, packed, read_table, stored, unpacked, words
 
 NAME = "op10_mix_sources"
 LEAF = ["domain", "lang_node", "source_node"]
@@ -38,8 +39,8 @@ class Mix:
     percent: int = 80
     max_epochs: int = 2
     seed: str = "mix-1"
-    #: Hex digits of the order's hash that make a bucket.
-    bucket_digits: int = 3
+    #: Hex digits of the order's hash that make a bucket, and again a bucket inside it.
+    bucket_digits: int = 2
 
 
 def _lookup(names: dict, col: Column, other) -> Column:
@@ -79,37 +80,40 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
 
 def mixed(docs: DataFrame, mix: Mix = Mix(), id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """docs with n_tokens (words), domain, lang_node, source_node and copies: how often the mixture holds the row."""
-    made = [*LEAF, "n_tokens", "copies"]
-    none = F.lit("(none)")
-    rows = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in made],
-        F.size(words(F.col(f"`{text}`"))).cast("long").alias("n_tokens"),
-        _lookup(mix.domains, F.coalesce(F.col(f"`{source}`"), none), "other").alias("domain"),
-        F.coalesce(F.col(f"`{lang}`"), none).alias("lang_node"),
-        F.coalesce(F.col(f"`{source}`"), none).alias("source_node"),
+    made, none = [*LEAF, "n_tokens", "copies"], F.lit("(none)")
+    where = F.coalesce(col(source), none)
+    rows = packed(
+        docs,
+        made,
+        name=F.coalesce(col(id).cast("string"), F.lit("")),
+        n_tokens=F.size(words(col(text))).cast("long"),
+        domain=_lookup(mix.domains, where, "other"),
+        lang_node=F.coalesce(col(lang), none),
+        source_node=where,
     )
-    narrow = stored(rows.select(F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("")).alias("name"), "n_tokens", *LEAF), "op10-rows")
+    narrow = stored(rows.select("name", "n_tokens", *LEAF), "op10-rows")
     plan = budgets(narrow.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")), mix)
     plan = plan.select(*LEAF, F.expr("if(tokens = 0, 0, give div tokens)").alias("whole"), F.expr("if(tokens = 0, 0, give % tokens)").alias("left"))
-    plan = stored(plan, "op10-plan")
-
-    def placed(df: DataFrame, name: Column) -> DataFrame:
-        key = F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("whole").cast("string"), name).cast("binary"))
-        return df.withColumn("key", key).withColumn("bucket", F.substring("key", 1, mix.bucket_digits))
-
-    ordered = placed(narrow.join(plan, LEAF), F.col("name"))
-    sums = ordered.groupBy(*LEAF, "bucket").agg(F.sum("n_tokens").alias("n"), F.first("left").alias("left"))
-    w = Window.partitionBy(*LEAF).orderBy("bucket")
-    ends = sums.withColumn("to", F.sum("n").over(w)).where("to > left").groupBy(*LEAF).agg(F.min_by(F.struct("bucket", (F.col("to") - F.col("n")).alias("before")), F.col("bucket")).alias("e"))
-    plan = stored(plan.join(ends.select(*LEAF, F.col("e.bucket").alias("end"), F.col("e.before").alias("before")), LEAF, "left"), "op10-plan")
-    # inside the bucket where a leaf's prefix ends
-    inside = placed(narrow.join(plan, LEAF), F.col("name")).where("bucket = end")
-    inside = inside.withColumn("to", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEAF).orderBy("key", "name"))).where("to <= left")
-    inside = inside.select(*LEAF, "name", F.lit(1).alias("took")).distinct()
-    rows = placed(rows.withColumn("name", F.coalesce(F.col(f"`{id}`").cast("string"), F.lit(""))).join(plan, LEAF), F.col("name"))
-    rows = rows.join(stored(inside, "op10-inside"), [*LEAF, "name"], "left")
-    more = F.when(F.col("whole") >= mix.max_epochs, 0).when(F.col("end").isNull() | (F.col("bucket") < F.col("end")), 1).otherwise(F.coalesce("took", F.lit(0)))
-    return rows.withColumn("copies", F.col("whole") + more).select(*[c for c in docs.columns if c not in made], *made)
+    plan = stored(plan.withColumns({"end": F.lit(""), "before": F.lit(0).cast("long")}), "op10-plan")
+    digits = mix.bucket_digits
+    key = F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("whole").cast("string"), F.col("name")).cast("binary"))
+
+    for length in (digits, 2 * digits):
+        # of the rows in a leaf's bucket so far, sums by the next digits; end: the bucket where the prefix ends, null if it doesn't
+        inside = narrow.join(plan, LEAF).withColumn("key", key).where(F.col("key").startswith(F.col("end")))
+        sums = inside.groupBy(*LEAF, F.substring("key", 1, length).alias("bucket")).agg(F.sum("n_tokens").alias("n"), F.first("left").alias("left"), F.first("before").alias("before"))
+        sums = sums.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*LEAF).orderBy("bucket"))).where("upto > left")
+        ends = sums.groupBy(*LEAF).agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before")), F.col("bucket")).alias("e"))
+        before, plan = plan, stored(plan.drop("end", "before").join(ends, LEAF, "left").select(*LEAF, "whole", "left", F.col("e.bucket").alias("end"), F.col("e.before").alias("before")), "op10-plan")
+        drop_stored(before)
+    bucket = F.substring("key", 1, 2 * digits)
+    last = narrow.join(plan, LEAF).withColumn("key", key).where(bucket == F.col("end"))
+    last = last.withColumn("upto", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEAF).orderBy("key", "name"))).where("upto <= left")
+    last = stored(last.select(*LEAF, "name", F.lit(1).alias("took")).distinct(), "op10-inside")
+    drop_stored(narrow)
+    out = rows.join(plan, LEAF).withColumn("key", key).join(last, [*LEAF, "name"], "left")
+    more = F.when(F.col("whole") >= mix.max_epochs, 0).when(F.col("end").isNull() | (bucket < F.col("end")), 1).otherwise(F.coalesce("took", F.lit(0)))
+    return unpacked(out.withColumn("copies", F.col("whole") + more), *made)
 
 
 def query(spark, sf_dir):

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import col, ddl, fresh, give_back, read_table
+from lodestone.llm.common import col, give_back, packed, read_table, unpacked, with_own
 
 NAME = "op2_byte_bpe"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -158,11 +158,9 @@ def _encode(path, pattern, with_ids):
 
 def encoded(docs: DataFrame, path: str, text: str = "text", pattern: str = public_tokenizers.PATTERN, with_ids: bool = True) -> DataFrame:
     """docs with ids array<int> (if asked for), n_tokens, ids_sha256 and, of the ids decoded again, decoded_sha256."""
-    own = [c for c in docs.columns if c not in _MADE]
-    (t,) = fresh(docs.columns, "t")
-    rows = docs.select(*map(col, own), col(text).alias(t))
+    rows = packed(docs, _MADE, t=col(text))
     made = "ids array<int>, " * with_ids + "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return rows.mapInArrow(_encode(path, pattern, with_ids), ", ".join(filter(None, [ddl(rows, own), made])))
+    return unpacked(rows.mapInArrow(_encode(path, pattern, with_ids), with_own(rows, made)), *_MADE[1 - with_ids :])
 
 
 @functools.cache
@@ -252,18 +250,18 @@ def encode_text(text: Column, path: str, pattern: str = public_tokenizers.PATTER
     return _let(pretokens(text, pattern), whole)
 
 
-def decode_ids(ids: Column, path: str) -> Column:
+def decode_native(ids: Column, path: str) -> Column:
     """The bytes of a sequence of ids."""
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(_literal([p.hex() for p in pieces(path)], "string"), i)), ""))
 
 
 def encode_native(docs: DataFrame, path: str, text: str = "text", pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """encoded() in DataFrame functions alone."""
-    own = [c for c in docs.columns if c not in _MADE]
-    rows = docs.select(*map(col, own), encode_text(col(text), path, pattern).alias("ids"))
+    rows = packed(docs, _MADE, ids=encode_text(col(text), path, pattern))
     little = _literal([int(i).to_bytes(4, "little").hex() for i in range(len(pieces(path)))], "string")
-    packed = F.unhex(F.array_join(F.transform("ids", lambda i: F.get(little, i)), ""))
-    return rows.select(*map(col, own), "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(packed, 256).alias("ids_sha256"), F.sha2(decode_ids(F.col("ids"), path), 256).alias("decoded_sha256"))
+    whole = F.unhex(F.array_join(F.transform("ids", lambda i: F.get(little, i)), ""))
+    made = F.size("ids").cast("long").alias("n_tokens"), F.sha2(whole, 256).alias("ids_sha256"), F.sha2(decode_native(F.col("ids"), path), 256).alias("decoded_sha256")
+    return unpacked(rows, "ids", *made)
 
 
 def query(spark, sf_dir):

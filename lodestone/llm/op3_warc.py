@@ -8,7 +8,7 @@ count, so a task that is run again after a lost executor leaves no double.
 
 Of records with equal payloads of at least min_revisit bytes the one with the smallest id is a response and
 the rest are revisits of it. Payloads are streamed: memory holds a page when it is written or read, and a
-chunk when archives are normalised.
+chunk or two when archives are normalised, of records of any size.
 
 Defined results: a null page is an empty payload; a null URL is left out of its record; rows that repeat an id
 and a payload are one record's copies and all of the first one's type; a null id is a revisit if any other
@@ -26,7 +26,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read_table, shared_dir, stored
+from lodestone.llm.common import drop_stored, give_back, read_table, shared_dir, stored
 
 NAME = "op3_warc_normalise"
 CHUNK = 1 << 20
@@ -111,56 +111,66 @@ def _write(folder, level):
 
 
 def _inflated(stream):
-    """The bytes of a gzip file of any number of members."""
-    press = zlib.decompressobj(wbits=31)
-    while data := stream.read(CHUNK):
-        while data:
-            yield press.decompress(data)
-            data = press.unused_data
-            if press.eof:
-                press = zlib.decompressobj(wbits=31)
-                if not data:
-                    break
-            else:
-                break
-    yield press.flush()
+    """The bytes of a gzip file of any number of members, CHUNK at a time however well they were packed."""
+    press, data = zlib.decompressobj(wbits=31), b""
+    while data or (data := stream.read(CHUNK >> 4)):
+        if press.eof:
+            press = zlib.decompressobj(wbits=31)
+        if out := press.decompress(data, CHUNK):
+            yield out
+        data = press.unused_data if press.eof else press.unconsumed_tail
+    while not press.eof and (out := press.decompress(b"", CHUNK)):
+        yield out
+
+
+class _Bytes:
+    """A stream of chunks, read up to a mark or by size without copying what follows."""
+
+    def __init__(self, parts):
+        self.parts, self.held, self.at = parts, b"", 0
+
+    def more(self) -> bool:
+        """Whether another chunk came; what is left of the last one, less than a record's head, is put before it."""
+        part = next(self.parts, None)
+        if part is not None:
+            self.held, self.at = self.held[self.at :] + part, 0
+        return part is not None
+
+    def head(self):
+        """Bytes up to and with the next empty line; None at the end."""
+        while (end := self.held.find(b"\r\n\r\n", self.at)) < 0:
+            if not self.more():
+                return self.held[self.at :] or None
+        out, self.at = self.held[self.at : end + 4], end + 4
+        return out
+
+    def body(self, size: int):
+        """The next size bytes, in pieces."""
+        while size:
+            if self.at == len(self.held) and not self.more():
+                raise ValueError("the archive ends within a record")
+            piece = memoryview(self.held)[self.at : self.at + size]
+            self.at, size = self.at + len(piece), size - len(piece)
+            yield piece
 
 
 def _normalise(folder, level):
-    """Each archive anew, a member for each record, with a sidecar of offsets; the old file goes."""
+    """Each archive anew, a member for each record, with a sidecar of offsets."""
 
     def run(batches):
         fs, root = _fs(folder)
         for batch in batches:
             for source, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 path = f"{root}/{uuid.uuid4().hex}.warc.gz"
-                at, index, held = 0, [], b""
+                at, index = 0, []
                 with fs.open_input_stream(source, compression=None) as stream, fs.open_output_stream(path, compression=None) as out:
-                    parts = _inflated(stream)
-
-                    def more():
-                        return next(parts, None)
-
-                    while True:
-                        while b"\r\n\r\n" not in held and (x := more()) is not None:
-                            held += x
-                        if not held:
-                            break
-                        head, mark, held = held.partition(b"\r\n\r\n")
+                    data = _Bytes(_inflated(stream))
+                    while (head := data.head()) is not None:
                         left = int(head.rpartition(b"Content-Length: ")[2].split(b"\r\n")[0]) + 4
-                        press = zlib.compressobj(level, wbits=31)
-                        packed = [press.compress(head + mark)]
-                        while left:
-                            if not held:
-                                held = more()
-                                if held is None:
-                                    raise ValueError(f"{source} ends within a record")
-                            packed.append(press.compress(held[:left]))
-                            held, left = held[left:], left - len(held[:left])
-                        packed.append(press.flush())
-                        size = sum(map(len, packed))
-                        for x in packed:
+                        press, size = zlib.compressobj(level, wbits=31), 0
+                        for x in (press.compress(head), *map(press.compress, data.body(left)), press.flush()):
                             out.write(x)
+                            size += len(x)
                         index.append(f"{at}\t{size}\n")
                         at += size
                 if len(index) != records:
@@ -168,6 +178,21 @@ def _normalise(folder, level):
                 with fs.open_output_stream(f"{path}.idx", compression=None) as out:
                     out.write("".join(index).encode())
                 yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([records], pa.int64())], ["path", "records"])
+        give_back()
+
+    return run
+
+
+def _deleted(folder):
+    """Deletes the named files themselves, nothing beside them; one that is gone already is no error."""
+
+    def run(batches):
+        fs, _ = _fs(folder)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                if fs.get_file_info(path).type == pyarrow.fs.FileType.File:
+                    fs.delete_file(path)
+            yield batch
 
     return run
 
@@ -211,19 +236,19 @@ def write_archives(pages: DataFrame, id: str = "page_id", url: str = "url", html
     again = stored(keys.join(first, "d").where("NOT k <=> first").distinct(), "op3-revisits")
     same = F.col("id").eqNullSafe(F.col("k")) & (F.sha1("html") == F.col("d")) & long
     rows = rows.join(again, same, "left").select("id", "url", "html", F.col("first").alias("refers_to"), F.col("first").isNotNull().alias("revisit"))
-    return stored(rows.mapInArrow(_write(folder, level), _FILES), "op3-archives")
+    out = stored(rows.mapInArrow(_write(folder, level), _FILES), "op3-archives")
+    drop_stored(first, again)
+    return out
 
 
-def normalise(files: DataFrame, level: int = 6, keep: bool = False) -> DataFrame:
-    """Files (path, records) with a member for each record and a sidecar; the monoliths are deleted unless keep."""
+def normalise(files: DataFrame, level: int = 6, keep: bool = True) -> DataFrame:
+    """Files (path, records) with a member for each record and a sidecar; unless keep, the given files are deleted once all are written anew."""
     folder = f"{shared_dir(files.sparkSession)}/warc-{uuid.uuid4().hex}"
     fs, root = _fs(folder)
     fs.create_dir(root)
     out = stored(_each(files).mapInArrow(_normalise(folder, level), _FILES), "op3-members")
     if not keep:
-        old = files.select(F.regexp_replace("path", "/[^/]*$", "").alias("d")).distinct().limit(1000).collect()
-        for r in old:
-            fs.delete_dir(r.d)
+        files.select("path").mapInArrow(_deleted(folder), "path string").count()
     return out
 
 
@@ -235,7 +260,7 @@ def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
 
 def query(spark, sf_dir):
     files = write_archives(read_table(spark, sf_dir, "pages"))
-    return read_archives(normalise(files), payloads=False)
+    return read_archives(normalise(files, keep=False), payloads=False)
 
 
 ORACLE_SQL = """

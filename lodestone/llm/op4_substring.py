@@ -12,8 +12,11 @@ No pairs are made. Windows that repeat within a slice of documents (a few megaby
 send one row on, so a passage in a third of all documents sends one row a slice.
 
 Defined results: null, empty and blank texts have no words and lose none; equal rows count as two
-occurrences; rows are told apart by id and text, so an id may come twice; null ids are allowed; extra columns
-stay, those that clash with n_words, n_removed or kept_text are replaced.
+occurrences; rows are told apart by id and 64 bits of the text's hash, those without an id by 128, so an id may
+come twice (rows that share both are one text and lose the same words); null ids are allowed; extra columns
+stay, those that clash with n_words, n_removed or kept_text are replaced. Windows are equal if 96 bits of
+hash are: of w distinct windows, some pair is taken for equal by chance with odds of w * w / 2 ** 97, one in
+15 million for 10 ** 11 windows.
 """
 
 import zlib
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import drop_stored, read_table, stored
+from lodestone.llm.common import col, drop_stored, give_back, packed, read_table, stored, unpacked, with_own
 from lodestone.llm.wordhash import Words, mix, slices, windows
 
 NAME = "op4_substring_dedup"
@@ -33,7 +36,7 @@ MAX_FILTER_BLOCKS = 1 << 24
 #: Windows of the corpus for each bucket; only the candidates among them reach it.
 BUCKET_ROWS = 1 << 20
 
-_KEY = "k1 bigint, k2 int"
+_KEY = "k1 bigint, k2 bigint"
 
 
 def _two(key):
@@ -155,7 +158,7 @@ def _candidates(block, window, bits, buckets):
     return run
 
 
-_PACKED = "bucket int, k1 array<bigint>, k2 array<int>, n array<int>, a binary, b binary, multi binary, at binary, run binary"
+_PACKED = "bucket int, k1 array<bigint>, k2 array<bigint>, n array<int>, a binary, b binary, multi binary, at binary, run binary"
 
 
 def _packed(groups, k1, k2):
@@ -167,7 +170,7 @@ def _packed(groups, k1, k2):
         row = (bucket, k1[doc[new]], k2[doc[new]], np.diff(np.append(new, len(doc))).astype(np.int32), a.tobytes(), b.tobytes(), np.packbits(multi).tobytes(), zlib.compress(step.tobytes(), 1), b"" if run is None else zlib.compress(run.astype(np.int32).tobytes(), 1))
         for c, x in zip(cols, row):
             c.append(x)
-    kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())] + [pa.binary()] * 5
+    kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())] + [pa.binary()] * 5
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in _PACKED.split(", ")])
 
 
@@ -179,7 +182,7 @@ def _settled(table):
         n = np.array(row["n"], np.int64)
         at = np.cumsum(np.frombuffer(zlib.decompress(row["at"]), np.int32)).astype(np.int32)
         keys1.append(np.array(row["k1"], np.int64))
-        keys2.append(np.array(row["k2"], np.int32))
+        keys2.append(np.array(row["k2"], np.int64))
         docs.append(np.repeat(np.arange(total, total + len(n)), n))
         total += len(n)
         ats.append(at)
@@ -208,12 +211,12 @@ def _settle(buckets):
 
     def run(table):
         k1, k2, doc, at, length = _settled(table)
-        home = (mix(k1.view(np.uint64) ^ (k2.astype(np.uint64) << np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+        home = (mix(k1.view(np.uint64) ^ k2.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(home, kind="stable")
         cut = np.flatnonzero(np.diff(home[order])) + 1
         cols = [[] for _ in _PACKED_FOUND.split(", ")]
         for r in np.split(order, cut) if len(order) else []:
-            row = (int(home[r[0]]), *(zlib.compress(x[r].astype(t).tobytes(), 1) for x, t in ((k1, np.int64), (k2, np.int32), (at, np.int32), (length, np.int32))))
+            row = (int(home[r[0]]), *(zlib.compress(x[r].astype(t).tobytes(), 1) for x, t in ((k1, np.int64), (k2, np.int64), (at, np.int32), (length, np.int32))))
             for c, x in zip(cols, row):
                 c.append(x)
         return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int32()] + [pa.binary()] * 4)], [x.split()[0] for x in _PACKED_FOUND.split(", ")])
@@ -226,7 +229,7 @@ _PACKED_FOUND = "home int, k1 binary, k2 binary, at binary, run binary"
 
 def _gather(table):
     """One row for each document of a bucket."""
-    k1, k2, at, run = (np.concatenate([np.frombuffer(zlib.decompress(x.as_py()), t) for x in table.column(c)]) for c, t in (("k1", np.int64), ("k2", np.int32), ("at", np.int32), ("run", np.int32)))
+    k1, k2, at, run = (np.concatenate([np.frombuffer(zlib.decompress(x.as_py()), t) for x in table.column(c)]) for c, t in (("k1", np.int64), ("k2", np.int64), ("at", np.int32), ("run", np.int32)))
     order = np.lexsort((at, k2, k1))
     k1, k2, at, run = k1[order], k2[order], at[order], run[order]
     new = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
@@ -236,7 +239,7 @@ def _gather(table):
 
 def _remove(window):
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             texts, found = batch.column(batch.schema.get_field_index("t")), batch.column(batch.schema.get_field_index("found"))
             size, gone, kept = [], [], []
             for t, f in zip(texts, found):
@@ -256,6 +259,7 @@ def _remove(window):
                 kept.append(b" ".join(left).decode())
             own = [batch.column(k) for k in range(batch.num_columns - 2)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], [*batch.schema.names[:-2], "n_words", "n_removed", "kept_text"])
+        give_back()
 
     return run
 
@@ -280,24 +284,25 @@ def _filter_bits(index: DataFrame, blocks: int):
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text", max_filter_blocks: int = MAX_FILTER_BLOCKS) -> DataFrame:
     """docs with n_words, n_removed and kept_text, the words outside repeated windows joined by one space."""
     block = (window + 1) // 2
-    keys = docs.select(F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.hash(f"`{text}`").alias("k2"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    given = col(text)
+    k1, k2 = F.coalesce(col(id).cast("long"), F.xxhash64(given, F.lit("no id"))), F.xxhash64(given)
+    keys = docs.select(k1.alias("k1"), k2.alias("k2"), F.coalesce(given, F.lit("")).alias("t"))
     index = stored(keys.select("t").mapInArrow(_index(block, window), "h bigint, n int").groupBy("h").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n")), "op4-index")
     blocks = index.count()
     if blocks <= max_filter_blocks:
-        given, bits = keys, _filter_bits(index, blocks)
+        probed, bits = keys, _filter_bits(index, blocks)
         drop_stored(index)
     else:
         probes = keys.mapInArrow(_probe_rows(block, window), f"h bigint, aligned boolean, {_KEY}, at int")
         hits = probes.join(index, "h").where(~F.col("aligned") | (F.col("n") > 1)).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("at")).alias("at"))
-        given, bits = keys.join(hits, ["k1", "k2"], "left"), None
+        probed, bits = keys.join(hits, ["k1", "k2"], "left"), None
     buckets = max(16, blocks * block // BUCKET_ROWS)
-    found = given.mapInArrow(_candidates(block, window, bits, buckets), _PACKED).groupBy("bucket").applyInArrow(_settle(buckets), _PACKED_FOUND)
+    found = probed.mapInArrow(_candidates(block, window, bits, buckets), _PACKED).groupBy("bucket").applyInArrow(_settle(buckets), _PACKED_FOUND)
     found = found.groupBy("home").applyInArrow(_gather, f"{_KEY}, at array<int>, run array<int>").withColumn("found", F.struct("at", "run")).drop("at", "run")
-    own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.hash(f"`{text}`").alias("k2"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    joined = rows.join(found, ["k1", "k2"], "left").select(*[F.col(f"`{c}`") for c in own], "t", "found")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2])
-    return joined.mapInArrow(_remove(window), f"{schema}, n_words bigint, n_removed bigint, kept_text string")
+    rows = packed(docs, ("n_words", "n_removed", "kept_text"), k1=k1, k2=k2, t=F.coalesce(given, F.lit("")))
+    joined = rows.join(found, ["k1", "k2"], "left").select("own", "t", "found")
+    out = joined.mapInArrow(_remove(window), with_own(joined, "n_words bigint, n_removed bigint, kept_text string"))
+    return unpacked(out, "n_words", "n_removed", "kept_text")
 
 
 def query(spark, sf_dir):

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import read_table, stored
@@ -265,30 +265,47 @@ def media_table(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     return stored(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(_store, "id bigint, n_bytes bigint, media binary"), "op5-media")
 
 
-_DIGEST = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_frames int, duration_ms bigint"
+_FRAME = "frame: int, start_ms: bigint, delay_ms: bigint, width: int, height: int, histogram: array<bigint>"
+_TIMED = f"id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, frames array<struct<{_FRAME}>>"
 
 
-def _digest(batches):
-    names = [x.split()[0] for x in _DIGEST.split(", ")]
-    for batch in batches:
-        cols = [[] for _ in names]
-        for id, n, media in zip(batch.column(0), batch.column(1), batch.column(2)):
-            media = media.as_py()
-            sha, size, tail, colours, count, end = hashlib.sha256(), 0, b"", 0, 0, 0
-            for f in decode(media):
-                part = f.part()
-                samples = part[..., 0].tobytes()
-                sha.update(samples)
-                size += len(samples)
-                tail = (tail + samples)[-64:]
-                colours = colours + histogram(part)
-                count, end = count + 1, f.start_ms + f.delay_ms
-            feature = "|".join(",".join(map(str, c)) for c in colours.tolist())
-            for c, x in zip(cols, (id.as_py(), n.as_py(), size, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, count, end)):
-                c.append(x)
-        kinds = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32()}
-        yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(cols, _DIGEST.split(", "))], names)
+def _timed(batches):
+    struct_ = pa.struct([("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64()))])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(struct_)]
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames"]
+    for whole in batches:
+        for i in range(0, whole.num_rows, 256):
+            batch = whole.slice(i, 256)
+            cols = [[] for _ in names]
+            for id, n, media in zip(batch.column(0), batch.column(1), batch.column(2)):
+                media = media.as_py()
+                sha, size, tail, shown = hashlib.sha256(), 0, b"", []
+                for k, f in enumerate(decode(media)):
+                    part = f.part()
+                    samples = part[..., 0].tobytes()
+                    sha.update(samples)
+                    size += len(samples)
+                    tail = (tail + samples)[-64:]
+                    shown.append((k, f.start_ms, f.delay_ms, f.width, f.height, histogram(part).ravel().tolist()))
+                for c, x in zip(cols, (id.as_py(), n.as_py(), size, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), [dict(zip(("frame", "start_ms", "delay_ms", "width", "height", "histogram"), x)) for x in shown])):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+
+
+def frame_table(media: DataFrame) -> DataFrame:
+    """Of each row of media(id, n_bytes, media), its timed frames with colour histograms and the digests of samples and file, written to the shared folder."""
+    return stored(media.mapInArrow(_timed, _TIMED), "op5-frames")
+
+
+def feature(frames: Column) -> Column:
+    """Pixels of all frames in 8 bins of red, of green and of blue."""
+    none = F.array_repeat(F.lit(0).cast("bigint"), 24)
+    total = F.aggregate(frames, none, lambda a, f: F.zip_with(a, f["histogram"], lambda x, y: x + y))
+    return F.get(F.transform(F.array(total.cast("array<string>")), lambda t: F.concat_ws("|", *[F.array_join(F.slice(t, 8 * k + 1, 8), ",") for k in range(3)])), 0)
 
 
 def query(spark, sf_dir):
-    return media_table(read_table(spark, sf_dir, "documents").select("doc_id", "text")).mapInArrow(_digest, _DIGEST)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows, last = frame_table(media_table(docs)), F.element_at("frames", -1)
+    made = feature(F.col("frames")).alias("feature"), F.size("frames").alias("n_frames"), (last["start_ms"] + last["delay_ms"]).alias("duration_ms")
+    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", *made)

@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read_table
+from lodestone.llm.common import col, give_back, packed, read_table, unpacked, with_own
 
 NAME = "op6_token_counts"
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 TIER_ONE = 1 << 16
-#: Pre-tokens that a task sends on, pre-tokens that it counts at once, and the cache's entries in a worker.
-SENT, COUNTED, CACHED = 1 << 13, 1 << 18, 1 << 19
+#: Pre-tokens that a task sends on, pre-tokens that it counts at once, and the entries of its cache, which ends with it.
+SENT, COUNTED, CACHED = 1 << 13, 1 << 18, 1 << 17
 #: Longer pre-tokens are encoded each time.
 LONGEST = 64
 MARK = "▁"
@@ -92,9 +92,6 @@ class Cache(dict):
         return sum(map(self.__getitem__, _parts(text[:-k]))) + self.tail(k)
 
 
-_caches = {}
-
-
 def _frequent(batches):
     """The most frequent pre-tokens of this task's texts, with their counts."""
     count = Counter()
@@ -115,27 +112,25 @@ def tier_one(texts: DataFrame, path: str, size: int = TIER_ONE) -> dict[str, int
     return dict(zip(parts, map(len, _model(path).encode(parts, num_threads=1))))
 
 
-def _counts(path, known, key):
+def _counts(path, known):
     def run(batches):
-        if key not in _caches:
-            _caches.clear()
-            _caches[key] = Cache(path, known.value)
-        count = _caches[key].count
+        cache = Cache(path, known.value)
         for batch in batches:
-            n = [count(t.as_py()) if t.is_valid else 0 for t in batch.column(batch.num_columns - 1)]
+            n = [cache.count(t.as_py()) if t.is_valid else 0 for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], [*batch.schema.names[:-1], "n_tokens"])
+        del cache
+        give_back()
 
     return run
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "text") -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit."""
-    own = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
-    col = F.col(f"`{text}`")
-    known = docs.sparkSession.sparkContext.broadcast(tier_one(docs.select(col), path))
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.octet_length(col), F.lit(0)).cast("long").alias("n_bytes"), col.alias("__t"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_counts(path, known, known.id if hasattr(known, "id") else id(known)), f"{schema}, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)
+    given = col(text)
+    known = docs.sparkSession.sparkContext.broadcast(tier_one(docs.select(given), path))
+    rows = packed(docs, ("n_bytes", "n_tokens", "over_limit"), n_bytes=F.coalesce(F.octet_length(given), F.lit(0)).cast("long"), t=given)
+    out = rows.mapInArrow(_counts(path, known), with_own(rows, "n_bytes bigint, n_tokens bigint"))
+    return unpacked(out, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def query(spark, sf_dir):

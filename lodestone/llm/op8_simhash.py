@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read_table, stored
+from lodestone.llm.common import col, drop_stored, packed, read_table, stored, unpacked
 from lodestone.llm.components import components
 from lodestone.llm.wordhash import slices
 
@@ -96,13 +96,13 @@ def _forest(new, fp, radius, own=None):
                 if (x2 == x).all() and (y2 == y).all():
                     break
                 x, y = x2, y2
-            for p, q in zip(x[x != y].tolist(), y[x != y].tolist()):
+            apart = x != y
+            for i, p, q in zip(near[apart].tolist(), x[apart].tolist(), y[apart].tolist()):
                 p, q = find(p), find(q)
                 if p != q:
-                    p, q = min(p, q), max(p, q)
-                    parent[q] = p
-                    a.append(p)
-                    b.append(q)
+                    parent[max(p, q)] = min(p, q)
+                    a.append(i)
+                    b.append(i + d)
         d += 1
         at = at[at + d < end[at]]
     return fp[a].view(np.int64), fp[b].view(np.int64)
@@ -170,8 +170,8 @@ def _tiles(radius):
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints fps(fp bigint), enough to connect all that lie within the radius."""
+def links(fps: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) between distinct fingerprints fps(fp bigint), enough to connect all that lie within the radius, and the table they are read from."""
     sign = lambda m: m - (1 << 64) if m >> 63 else m
     rows = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(sign(m))).alias("key")) for t, m in enumerate(masks(radius))])).alias("r"))
     rows = rows.select("r.t", "r.key", "fp")
@@ -184,17 +184,20 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT
         dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         dealt = dealt.select("t", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
         edges = edges.union(dealt.groupBy("t", "key", "x", "y").applyInArrow(_tiles(radius), "a bigint, b bigint"))
-    return edges
+    return edges, found
 
 
 def _classes(fps: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
     """(fp, root, component_id) of each fingerprint of fps(id, fp); components that share an id have roots of their own."""
     nodes = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "op8-nodes")
-    root = components(links(nodes.select("fp"), radius, bucket_limit))
+    edges, made = links(nodes.select("fp"), radius, bucket_limit)
+    root = components(edges)
     named = nodes.join(root, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = stored(named, "op8-roots")
-    least = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "op8-names")
-    return stored(named.join(least, "root").select("fp", "root", "component_id"), "op8-classes")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = stored(named.join(least, "root").select("fp", "root", "component_id"), "op8-classes")
+    drop_stored(nodes, made, root, named)
+    return out
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id: str = "doc_id", text: str = "text", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
@@ -210,14 +213,16 @@ def hex16(fp):
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs without all but one row of each group: that with the smallest id, a null id last, and of those the smallest hash of the row."""
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumn("__row", F.xxhash64(*own, *[c.isNull() for c in own]))
-    fps = rows.select(F.col("doc_id").alias("id"), F.col("__row").alias("row"), F.coalesce("text", F.lit("")).alias("t"))
-    fps = stored(fps.mapInArrow(_fingerprints(SHINGLE), "id bigint, row bigint, fp bigint"), "op8-fingerprints")
-    of = fps.join(_classes(fps, radius, BUCKET_LIMIT).select("fp", "root"), "fp")
-    kept = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("k")).select("k.id", "k.row")
-    out = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("__row") == F.col("row")), "left_semi")
-    return out.dropDuplicates(["doc_id", "__row"]).select(*own)
+    whole = [col(c) for c in docs.columns]
+    rows = packed(docs, (), id=F.col("doc_id"), row=F.xxhash64(*whole, *[c.isNull() for c in whole]), t=F.coalesce("text", F.lit("")))
+    fps = stored(rows.select("id", "row", "t").mapInArrow(_fingerprints(SHINGLE), "id bigint, row bigint, fp bigint"), "op8-fingerprints")
+    classes = _classes(fps, radius, BUCKET_LIMIT)
+    of = fps.join(classes.select("fp", "root"), "fp")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("k")
+    kept = stored(of.groupBy("root").agg(least).select(F.col("k.id").alias("least"), F.col("k.row").alias("least_row")), "op8-kept")
+    drop_stored(fps, classes)
+    out = rows.drop("t").join(kept, F.col("id").eqNullSafe(F.col("least")) & (F.col("row") == F.col("least_row")), "left_semi")
+    return unpacked(out.dropDuplicates(["id", "row"]))
 
 
 def query(spark, sf_dir):

@@ -7,14 +7,20 @@
    the entropy with which the text is spread over pages; both to the base of the number of its pages. Leaves
    have the second only; other nodes mix the two by DECAY to the power of their number of styles. Exact
    copies of a page count as one page; a node of one page has importance 1.
-3. Branches below LEAST are removed from each page; what a page declares of itself comes first: elements
-   that are menus, headers, footers, asides, forms, adverts, notices or comments by tag, class, id or role
-   go whatever their importance. Where a page declares its article, text outside goes, and inside only
-   sections and divisions are judged, so that an article that many pages copy stays.
+3. The tree's weight of a node is that importance times its relative importance: how much of its text
+   repeats over pages (one less its content importance) against the best of its siblings, both with one part
+   in its number of pages added, so that few pages prove little. A bar with texts from a pool of hundreds has
+   so a low weight beside an article, on a host of any size.
+4. Every branch of every page has that weight times a prior from its markup: NOISE if it is a menu, header,
+   footer, aside, form, advert, notice or comment by tag, role, class or id, or stands outside the article that
+   the page declares; 1 otherwise; prose inside a declared article, the article and what it stands in are kept.
+   Branches below LEAST are removed. The states of a layout (has-sidebar, comments-open) are no names of
+   noise, and no class name on what holds a declared article removes it, but those of comments and teasers do.
 
 The tree is never collected: counts are aggregated by node and text, with partial sums in each task, and only
-the names of unimportant nodes leave the cluster, as hashes, if there are at most MAX_BROADCAST of them;
-otherwise each page's nodes meet them in a shuffled join.
+the names of nodes with a low weight leave the cluster, as sorted hashes, if there are at most MAX_BROADCAST of
+them; otherwise each page's nodes meet them in a shuffled join. Nodes of fewer than MIN_PAGES pages have their
+prior alone: on two pages a copied article looks like a bar.
 
 Defined results: null, empty and textless pages have an empty text and 0 characters; a null url is a host of
 its own name; page ids may repeat or be null; pages cut off anywhere are read as if their elements ended
@@ -30,14 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read_table, stored
+from lodestone.llm.common import col, give_back, packed, read_table, stored, unpacked, with_own
 
 NAME = "op9_site_style_tree"
 DECAY = 0.9
-#: Branches of less importance go.
-LEAST = 0.3
-#: Nodes seen on fewer pages aren't judged.
+#: Branches of less weight go; the prior of branches that their markup tells to be noise.
+LEAST, NOISE = 0.3, 0.25
 MIN_PAGES = 3
+#: Names of low weight that go to every worker, eight bytes each.
 MAX_BROADCAST = 1 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,12 +55,15 @@ INLINE = frozenset(
 NOISE_TAGS = frozenset("nav header footer aside form script style head noscript template iframe button select textarea dialog menu object svg video audio canvas".split())
 #: Inside an article these are its own heading, not the site's.
 SITE_TAGS = frozenset(["header"])
-NOISE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|menubar|breadcrumbs?|"
-    r"side-?bar|footer|header|masthead|comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|"
-    r"share|sharing|social|related|recommended|login|signin|signup|search|form|pagination|pager|widget|toolbar|skip-?link|tracking|legal|copyright)(?:$|[\s_-])",
-    re.I,
+#: Parts of a class or id that name noise: those of layout, and those that hold whole articles of others.
+LAYOUT_NAMES = frozenset(
+    "ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar "
+    "footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription share sharing social login signin signup "
+    "pagination pager widget toolbar skip skiplink tracking".split()
 )
+OTHERS_NAMES = frozenset("comment comments commentlist disqus respond replies reply related recommended teaser teasers".split())
+#: With one of these beside it, a name tells the page's state, not what the element is.
+STATES = frozenset("has no not with without is open closed enabled disabled active inactive on off left right top bottom count allowed".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ROOT_NAMES = re.compile(r"(?:^|\s)(?:articleBody)(?:$|\s)")
 #: A start tag of one of these ends an open paragraph.
@@ -62,6 +71,19 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _WALLS = frozenset("html body table td th ul ol dl div article main section nav aside header footer form".split())
 _JUDGED_INSIDE = frozenset(["div", "section"])
 
+
+def named(attribute: str) -> str:
+    """What a class or id tells of its element: "others", "layout" or nothing."""
+    found = ""
+    for token in attribute.lower().split():
+        parts = set(re.split(r"[-_]+|(?<=[a-z])\d+$", token.replace("side-bar", "sidebar"))) - {"", None}
+        if not parts & STATES:
+            if parts & OTHERS_NAMES:
+                return "others"
+            if parts & LAYOUT_NAMES:
+                found = "layout"
+    return found
+
 _MARK = re.compile(r"""<(?:!--(?:.*?-->|.*)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(>?)|[!?/][^>]*>?)""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
@@ -71,37 +93,68 @@ class Page:
 
     def __init__(self, source: str, host: str):
         self.tag, self.parent, self.name = ["#page"], [-1], [xxhash.xxh64_intdigest(host)]
-        self.noise, self.root, self.kids, self.style = [False], [False], [{}], [[]]
+        #: own: what markup tells of a node: "" nothing, "tag" (or role), "form", "layout", "others"; root: whether it declares an article.
+        self.own, self.root, self.kids, self.style = [""], [False], [{}], [[]]
         self.blocks = []
         self._read(source)
+        self._priors()
 
-    def _node(self, parent: int, tag: str, attrs: str) -> int:
+    @staticmethod
+    def _attrs(attrs: str) -> dict:
         found = {}
         if attrs.strip():
             for m in _ATTR.finditer(attrs):
                 if (k := m[1].lower()) in ("class", "id", "role", "itemprop", "hidden"):
                     found.setdefault(k, _html.unescape(m[2] or m[3] or m[4] or ""))
+        return found
+
+    @staticmethod
+    def _told(tag: str, found: dict) -> str:
+        role = found.get("role", "").lower()
+        if "hidden" in found or role in NOISE_ROLES or tag in NOISE_TAGS and tag != "form":
+            return "tag"
+        if tag in ("html", "body", "main"):
+            return ""
+        told = {named(found[k]) for k in ("class", "id") if k in found}
+        return "others" if "others" in told else "layout" if "layout" in told and tag != "article" else "form" if tag == "form" else ""
+
+    def _node(self, parent: int, tag: str, found: dict) -> int:
         kind = tag + "".join(f"|{k}={found[k]}" for k in ("class", "id", "role") if k in found)
         k = self.kids[parent].get(kind, 0)
         self.kids[parent][kind] = k + 1
         if not self.style[parent] or self.style[parent][-1] != kind:
             self.style[parent].append(kind)
-        inside = self.root[parent]
-        own = (
-            (tag in NOISE_TAGS and not (inside and tag in SITE_TAGS))
-            or "hidden" in found
-            or found.get("role", "").lower() in NOISE_ROLES
-            or any(NOISE_NAMES.search(found[k]) for k in ("class", "id") if k in found and tag not in ("html", "body"))
-        )
         self.tag.append(tag)
         self.parent.append(parent)
         self.name.append(xxhash.xxh64_intdigest(f"{kind}|{k}", self.name[parent]))
-        self.noise.append(own or self.noise[parent])
-        self.root.append(inside or (not self.noise[-1] and (tag in ("article", "main") or found.get("role", "").lower() in ("main", "article") or bool(ROOT_NAMES.search(found.get("itemprop", ""))))))
+        self.own.append(self._told(tag, found))
+        role = found.get("role", "").lower()
+        self.root.append(tag in ("article", "main") or role in ("main", "article") or bool(ROOT_NAMES.search(found.get("itemprop", ""))))
         self.kids.append({})
         self.style.append([])
         return len(self.tag) - 1
 
+    def _priors(self) -> None:
+        """noise: nodes in a branch that markup tells to be noise; inside: nodes of a declared article; holds: what one stands in."""
+        n = len(self.tag)
+        hard = [False] * n  # in a branch that no article below it saves
+        for k in range(1, n):
+            inside = self.root[self.parent[k]]
+            told = self.own[k] if not (inside and self.tag[k] in SITE_TAGS) else ""
+            hard[k] = hard[self.parent[k]] or told in ("tag", "others")
+            self.root[k] = not hard[k] and (self.root[k] or inside)
+            if told != self.own[k]:
+                self.own[k] = told
+        self.holds = [False] * n
+        for k in range(n - 1, 0, -1):
+            if self.root[k] or self.holds[k]:
+                self.holds[self.parent[k]] = True
+        self.inside, self.declared = self.root, any(self.root)
+        self.noise = [False] * n
+        for k in range(1, n):
+            saved = self.holds[k] and not self.inside[self.parent[k]]
+            self.noise[k] = self.noise[self.parent[k]] or self.own[k] in ("tag", "others") or (self.own[k] != "" and not saved)
+
     def _read(self, source: str) -> None:
         stack, text, at, end = [("#page", 0)], [], 0, len(source)
 
@@ -151,11 +204,9 @@ class Page:
                 if tag == "br":
                     text.append(" ")
                 elif tag not in VOID and ("class" in m[3] or "id" in m[3] or "role" in m[3] or "hidden" in m[3]):
-                    probe = Page.__new__(Page)
-                    probe.tag, probe.parent, probe.name, probe.noise, probe.root, probe.kids, probe.style = ["#"], [-1], [0], [False], [True], [{}], [[]]
-                    if probe.noise[probe._node(0, tag, m[3])]:
+                    if self._told(tag, found := self._attrs(m[3])):
                         flush()
-                        stack.append((tag, self._node(stack[-1][1], tag, m[3])))
+                        stack.append((tag, self._node(stack[-1][1], tag, found)))
                     else:
                         stack.append((tag, stack[-1][1]))
                 continue
@@ -171,7 +222,7 @@ class Page:
                 elif stack[k][0] in _WALLS and not (tag in ("tr",) and stack[k][0] in ("td", "th")):
                     break
             if not m[3].rstrip().endswith("/") or tag not in ("path", "circle", "rect", "use"):
-                stack.append((tag, self._node(stack[-1][1], tag, m[3])))
+                stack.append((tag, self._node(stack[-1][1], tag, self._attrs(m[3]))))
         flush()
 
     def above(self, node: int):
@@ -179,28 +230,43 @@ class Page:
             yield node
             node = self.parent[node]
 
+    def judged(self):
+        """Nodes that the tree has: all but what stands inside noise."""
+        return [k > 0 and not (self.noise[k] and self.noise[self.parent[k]]) and self.tag[k] not in ("html", "body") for k in range(len(self.tag))]
+
     def facts(self):
-        """(node's name, hash, leaf) once for each style shown and text held: styles have leaf null, texts tell leaves from other nodes."""
-        out = set()
+        """(node's name, hash, whether of a style, parent's name, whether noise) once for each style shown and text held; the last two go with styles."""
+        out, judged = set(), self.judged()
         for k in range(1, len(self.tag)):
-            if not (self.noise[k] and self.noise[self.parent[k]]) and self.tag[k] not in ("html", "body"):
-                out.add((self.name[k], xxhash.xxh64_intdigest("\0".join(self.style[k]), 1), True))
+            if judged[k]:
+                out.add((self.name[k], xxhash.xxh64_intdigest("\0".join(self.style[k]), 1), True, self.name[self.parent[k]], self.noise[k]))
         for node, line in self.blocks:
             h = xxhash.xxh64_intdigest(line, 2)
             for k in self.above(node):
-                if not (self.noise[k] and self.noise[self.parent[k]]) and self.tag[k] not in ("html", "body"):
-                    out.add((self.name[k], h, False))
+                if judged[k]:
+                    out.add((self.name[k], h, False, 0, False))
         return out
 
-    def main(self, unimportant) -> str:
-        """Blocks of text that stay."""
-        gone = list(self.noise)
-        rooted = any(self.root)
+    def prior(self, k: int) -> float:
+        """NOISE, 1, or without bound for what a declared article keeps."""
+        if self.noise[k]:
+            return NOISE
+        p = self.parent[k]
+        if self.inside[k]:
+            return 1.0 if self.inside[p] and self.tag[k] in _JUDGED_INSIDE else np.inf
+        if self.holds[k] or self.tag[k] in ("html", "body"):
+            return np.inf
+        return NOISE if self.declared else 1.0
+
+    def main(self, unimportant, prior: bool = True) -> str:
+        """Blocks of text that stay, given which names the tree weighs below LEAST; without the prior, by the tree alone."""
+        gone = [False] * len(self.tag)
         for k in range(1, len(self.tag)):
-            p = self.parent[k]
-            if not gone[k]:
-                gone[k] = gone[p] or ((not rooted or self.root[p] and self.tag[k] in _JUDGED_INSIDE) and self.tag[k] not in ("html", "body") and not (self.root[k] and not self.root[p]) and unimportant(self.name[k]))
-        return "\n".join(line for node, line in self.blocks if not gone[node] and (self.root[node] or not rooted))
+            p = self.prior(k) if prior else 1.0 if self.tag[k] not in ("html", "body") else np.inf
+            # a weight is at most 1, so noise goes; one of LEAST or more keeps what has no prior against it
+            gone[k] = gone[self.parent[k]] or p < LEAST or p == 1.0 and unimportant(self.name[k])
+        bare = self.declared and prior  # text in no element is outside the article
+        return "\n".join(line for node, line in self.blocks if not gone[node] and (self.inside[node] or not bare))
 
 
 def host(url) -> str:
@@ -213,29 +279,26 @@ def _facts(batches):
     for batch in batches:
         for i in range(0, batch.num_rows, 512):
             part = batch.slice(i, 512)
-            names, hashes, styles, pages = [], [], [], []
+            rows, pages = [], []
             for url, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                site = host(url)
-                facts = Page(source or "", site).facts()
-                page = xxhash.xxh32_intdigest(source or "")
-                for name, h, style in facts:
-                    names.append(name)
-                    hashes.append(h)
-                    styles.append(style)
-                pages += [page] * len(facts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(styles, pa.bool_()), pa.array(np.array(pages, np.uint32).view(np.int32))],
-                ["name", "h", "style", "page"],
-            )
+                facts = Page(source or "", host(url)).facts()
+                rows += facts
+                pages += [xxhash.xxh64_intdigest(source or "")] * len(facts)
+            names, hashes, styles, ups, noises = zip(*rows) if rows else [()] * 5
+            long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([long(names), long(hashes), pa.array(styles, pa.bool_()), long(ups), pa.array(noises, pa.bool_()), long(pages)], ["name", "h", "style", "up", "noise", "page"])
+    give_back()
 
 
 def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """The merged tree: (name, pages, presentation, content, importance) of each node."""
-    facts = pages.select(F.col(f"`{url}`"), F.col(f"`{html}`")).mapInArrow(_facts, "name bigint, h bigint, style boolean, page int")
-    seen = facts.distinct().groupBy("name", "h", "style").agg(F.count(F.lit(1)).alias("n"))
+    """The merged tree: (name, up, noise, pages, presentation, content, importance, relative, weight) of each node."""
+    facts = pages.select(col(url), col(html)).mapInArrow(_facts, "name bigint, h bigint, style boolean, up bigint, noise boolean, page bigint")
+    seen = facts.distinct().groupBy("name", "h", "style").agg(F.count(F.lit(1)).alias("n"), F.max("up").alias("up"), F.max("noise").alias("noise"))
     # of a node: its pages are the sum over styles, as each page shows one style there
     texts, n = ~F.col("style"), F.col("n").cast("double")
     nodes = seen.groupBy("name").agg(
+        F.max(F.when(F.col("style"), F.col("up"))).alias("up"),
+        F.max("noise").alias("noise"),
         F.sum(F.when(F.col("style"), F.col("n"))).alias("pages"),
         F.count_if("style").alias("styles"),
         F.sum(F.when(F.col("style"), n * F.log(n))).alias("style_log"),
@@ -246,53 +309,58 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     many = F.col("pages") > 1
     nodes = nodes.withColumn("presentation", F.when(many, (F.log(m) - F.col("style_log") / m) / F.log(m)).otherwise(1.0))
     nodes = nodes.withColumn("content", F.when(~many, 1.0).when(F.col("texts") == 0, 0.0).otherwise(1 - F.col("text_log") / F.greatest(F.col("texts"), F.lit(1)) / F.log(m)))
-    weight = F.pow(F.lit(DECAY), F.col("styles").cast("double"))
-    importance = F.when(many, (1 - weight) * F.col("presentation") + weight * F.col("content")).otherwise(1.0)
-    return nodes.select("name", "pages", "presentation", "content", importance.alias("importance"))
+    mixed = F.pow(F.lit(DECAY), F.col("styles").cast("double"))
+    nodes = nodes.withColumn("importance", F.when(many, (1 - mixed) * F.col("presentation") + mixed * F.col("content")).otherwise(1.0))
+    best = nodes.where("NOT noise AND texts > 0").groupBy("up").agg(F.max("content").alias("best"))
+    nodes = nodes.join(best, "up", "left")
+    own, least = 1 - F.col("content"), 1 - F.greatest("content", F.coalesce("best", F.col("content")))
+    nodes = nodes.withColumn("relative", F.when(F.col("texts") == 0, 1.0).otherwise((1 / m + least) / (1 / m + own)))
+    return nodes.select("name", "up", "noise", "pages", "presentation", "content", "importance", "relative", (F.col("importance") * F.col("relative")).alias("weight"))
 
 
-def _text(names):
+def _text(names, prior):
     def run(batches):
-        known = names.value
+        known = names.value if names is not None else None
         for batch in batches:
-            given = batch.column(batch.num_columns - 3) if known is None else None
             for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                texts = []
-                for k, (url, source) in enumerate(zip(part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist())):
-                    some = known if known is not None else {x % (1 << 64) for x in given[i + k].as_py() or ()}
-                    texts.append(Page(source or "", host(url)).main(some.__contains__))
-                own = part.columns[: -3 if known is None else -2]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*part.schema.names[: len(own)], "text", "n_chars"])
+                part, texts = batch.slice(i, 512), []
+                given = part.column(3) if known is None else None
+                for k, (url, source) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                    page = Page(source or "", host(url))
+                    if known is None:
+                        some = {x % (1 << 64) for x in given[k].as_py() or ()}
+                    else:
+                        own = np.array(page.name, np.uint64)
+                        some = set(own[known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own].tolist()) if len(known) else ()
+                    texts.append(page.main(some.__contains__, prior))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["own", "text", "n_chars"])
+        give_back()
 
     return run
 
 
-class _Given:
-    value = None
-
-
-def extract(pages: DataFrame, url: str = "url", html: str = "html", least: float = LEAST, min_pages: int = MIN_PAGES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """pages with text and n_chars, without the html."""
-    poor = stored(style_tree(pages, url, html).where((F.col("importance") < least) & (F.col("pages") >= min_pages)).select("name"), "op9-poor")
-    own = [c for c in pages.columns if c not in ("text", "n_chars", html)]
-    rows = pages.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{url}`").alias("__url"), F.col(f"`{html}`").alias("__html"))
+def extract(
+    pages: DataFrame, url: str = "url", html: str = "html", least: float = LEAST, min_pages: int = MIN_PAGES, max_broadcast: int = MAX_BROADCAST, prior: bool = True
+) -> DataFrame:
+    """pages with text and n_chars, without the html; without the prior the tree decides alone."""
+    poor = stored(style_tree(pages, url, html).where((F.col("weight") < least) & (F.col("pages") >= min_pages)).select("name"), "op9-poor")
+    rows = packed(pages, ("text", "n_chars", html), url=col(url), html=col(html))
     if poor.count() <= max_broadcast:
-        names = pages.sparkSession.sparkContext.broadcast(frozenset(np.asarray(poor.toArrow().column("name")).view(np.uint64).tolist()))
+        names = pages.sparkSession.sparkContext.broadcast(np.sort(np.asarray(poor.toArrow().column("name")).view(np.uint64)))
     else:
-        names, key = _Given(), [F.xxhash64("__url", "__html").alias("k1"), F.hash("__html").alias("k2")]
-        held = rows.select(*key, "__url", "__html").mapInArrow(_names, "k1 bigint, k2 int, name bigint").distinct()
-        held = held.join(poor, "name").groupBy("k1", "k2").agg(F.collect_set("name").alias("__names"))
-        rows = rows.withColumns({"k1": key[0], "k2": key[1]}).join(held, ["k1", "k2"], "left").select(*[F.col(f"`{c}`") for c in own], "__names", "__url", "__html")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*[F.col(f"`{c}`") for c in own]).schema.fields)
-    return rows.mapInArrow(_text(names), f"{schema}, text string, n_chars bigint")
+        # each page's nodes meet the names; pages are told apart by 128 bits of their source and host
+        names, keys = None, [F.xxhash64("url", "html").alias("k1"), F.xxhash64("html", "url", F.lit(1)).alias("k2")]
+        held = rows.select(*keys, "url", "html").mapInArrow(_names, "k1 bigint, k2 bigint, name bigint").distinct()
+        held = held.join(poor, "name").groupBy("k1", "k2").agg(F.collect_set("name").alias("names"))
+        rows = rows.select("own", "url", "html", *keys).join(held, ["k1", "k2"], "left").select("own", "url", "html", "names")
+    return unpacked(rows.mapInArrow(_text(names, prior), with_own(rows, "text string, n_chars bigint")), "text", "n_chars")
 
 
 def _names(batches):
     for batch in batches:
         for k1, k2, url, source in zip(*(c.to_pylist() for c in batch.columns)):
             names = np.array(sorted(set(Page(source or "", host(url)).name[1:])), np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([k1] * len(names), pa.int64()), pa.array([k2] * len(names), pa.int32()), pa.array(names)], ["k1", "k2", "name"])
+            yield pa.RecordBatch.from_arrays([pa.array([k1] * len(names), pa.int64()), pa.array([k2] * len(names), pa.int64()), pa.array(names)], ["k1", "k2", "name"])
 
 
 def query(spark, sf_dir):

@@ -34,6 +34,52 @@ def test_language_odd_rows(spark):
     assert op7_language.identify(rows.limit(0), model).collect() == []
 
 
+def test_language_like_plain_nearest_centroid(spark):
+    """Every document of a small table against centroids one by one, with n-grams counted in plain Python."""
+    import math
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    langs, centroids, low, idf = model = op7_language.fit_documents(docs)
+
+    def grams(text):
+        out, run = {}, [ord(c) if c.isalpha() else 0 for c in text.lower()]
+        run = [c for k, c in enumerate(run) if k == 0 or c or run[k - 1]]
+        for n in (1, 2, 3):
+            for k in range(len(run) - n + 1):
+                part = run[k : k + n]
+                if any(part):
+                    g = part[0]
+                    for c in part[1:]:
+                        g = (g * 0x9E3779B1 + c) % 2**64
+                    place = (g + n) * 0x9E3779B97F4A7C15 % 2**64 >> 51
+                    out[place] = out.get(place, 0) + 1
+        return out
+
+    for r in op7_language.identify(docs, model).collect():
+        g = grams(r.text or "")
+        if not g:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0, True)
+            continue
+        x = {k: math.log1p(n) * idf[k] for k, n in g.items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        sims = [sum(v * float(c[k]) for k, v in x.items()) / size for c in centroids]
+        near = max(range(len(sims)), key=sims.__getitem__)
+        assert abs(sims[near] - r.score) < 1e-4 and any(langs[k] == r.lang_pred for k in range(len(sims)) if sims[k] > sims[near] - 1e-4)
+        least = max(op7_language.FLOOR, op7_language.REJECT * low[near][op7_language.length_class(len(g))])
+        assert abs(sims[near] - least) < 1e-4 or r.rejected == (sims[near] < least)
+
+
+def test_language_rejects_noise_and_unknown_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, r = op7_language.fit_documents(docs), random.Random(3)
+    noise = ["".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(400)), "Все люди рождаются свободными и равными в своем достоинстве и правах.", "漢字仮名交じり文" * 9]
+    noise += ["Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler."]
+    out = op7_language.identify(spark.createDataFrame([(t,) for t in noise], "text string"), model)
+    assert [x.rejected for x in out.collect()] == [True] * len(noise)
+    kept = op7_language.identify(docs.where("text rlike '[A-Za-z]'"), model)
+    assert kept.where("rejected").count() == 0
+
+
 def same_model(a, b):
     return a[0] == b[0] and all(np.array_equal(x, y) for x, y in zip(a[1:], b[1:]))
 
@@ -139,6 +185,24 @@ def test_pipeline_stages_on_documents(spark):
     assert len(out) == d.count() and all(r.ids == library.encode_ordinary(text_of[r.doc_id]) for r in out)
 
 
+def test_pipeline_run_on_odd_tables(spark, tmp_path):
+    """run() itself, with the tables written between the stages."""
+    import os
+
+    import corpus_pipeline
+    from lodestone.llm import common
+
+    kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    odd = [(1, None, None, None, None), (None, "A sentence of words.", "en", "src1", 20), (2, "", "en", None, 0), (2, "A sentence of words.", None, "src1", 20), (3, "und der die " * 400, "de", "src2", 4800)]
+    for k, rows in enumerate((odd, [])):
+        spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        before = len(common._written)
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{k}")
+        assert len(common._written) - before <= len(corpus_pipeline.STAGES) - 1  # a table a stage, no more
+        assert {r.doc_id for r in out.collect()} <= {None, 1, 2, 3}
+    assert os.path.isdir(tmp_path)
+
+
 def test_pipeline_odd_tables(spark):
     import corpus_pipeline
 

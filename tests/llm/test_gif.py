@@ -4,7 +4,7 @@ import struct
 import numpy as np
 import pytest
 
-from lodestone.llm.op5_gif import PALETTE, _blocks, decode, encode, frames, histogram, lzw_decode, lzw_encode, media_table, payload_of
+from lodestone.llm.op5_gif import PALETTE, _blocks, decode, encode, feature, frame_table, frames, histogram, lzw_decode, lzw_encode, media_table, payload_of
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 63, 64, 65, 255, 256, 3838, 5000, 70_000])
@@ -51,3 +51,45 @@ def test_payload_and_frames(spark):
     assert frames(media.limit(0)).collect() == []
     assert histogram(np.zeros((2, 2, 4), np.uint8)).sum() == 0
     assert encode(payload_of(b"x")) == encode(payload_of(b"x"))
+
+
+def plain_lzw(stream, size):
+    """A decoder by the book, one code at a time."""
+    clear, end, bits, have, at, out = 1 << size, (1 << size) + 1, 0, 0, 0, bytearray()
+    table, width, last = {}, size + 1, None
+    while True:
+        while have < width:
+            bits, have, at = bits | stream[at] << have, have + 8, at + 1
+        code, bits, have = bits & (1 << width) - 1, bits >> width, have - width
+        if code == end:
+            return bytes(out)
+        if code == clear:
+            table, width, last = {i: bytes([i]) for i in range(clear)}, size + 1, None
+            continue
+        entry = table[code] if code in table else last + last[:1]
+        if last is not None and len(table) + 2 < 4096:
+            table[len(table) + 2] = last + entry[:1]
+        out, last = out + entry, entry
+        if len(table) + 2 == 1 << width and width < 12:
+            width += 1
+
+
+def test_large_streams_by_a_plain_decoder():
+    r = random.Random(12)
+    for data in (r.randbytes(70_000), bytes(r.choice(b"the and of ") for _ in range(200_000))):
+        assert plain_lzw(lzw_encode(data), 8) == data
+
+
+def test_stored_timed_frames(spark):
+    from pyspark.sql import functions as F
+
+    texts = [None, "", "same", "same", "word " * 30_000]
+    media = media_table(spark.createDataFrame([*enumerate(texts), (None, "same")], "doc_id bigint, text string"))
+    rows = frame_table(media).select("*", feature(F.col("frames")).alias("feature")).collect()
+    assert len(rows) == 6 and len({str(tuple(r)[1:]) for r in rows if r.n_bytes == 4}) == 1
+    for r in rows:
+        data = payload_of((texts[r.id] if r.id is not None else "same" or "").encode() if r.id not in (0,) else b"")
+        bins = np.stack([np.bincount(np.frombuffer(PALETTE, np.uint8).reshape(-1, 3)[np.frombuffer(data, np.uint8), c] >> 5, minlength=8) for c in range(3)])
+        assert r.feature == "|".join(",".join(map(str, b)) for b in bins.tolist()) and r.payload_bytes == len(data)
+        assert [f.start_ms for f in r.frames] == [100 * k for k in range(len(r.frames))] and sum(sum(f.histogram) for f in r.frames) == 3 * len(data)
+    assert frame_table(media.limit(0)).collect() == []

@@ -57,9 +57,9 @@ def test_links_like_brute_force(spark, limit):
             x ^= 1 << b
         fps.add(x)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    got = links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), bucket_limit=limit).collect()
+    got = links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), bucket_limit=limit)[0].collect()
     near = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4]
-    assert all(((e.a ^ e.b) & (1 << 64) - 1).bit_count() <= 64 for e in got)
+    assert all(((e.a ^ e.b) & (1 << 64) - 1).bit_count() <= 4 for e in got)
     assert classes([(e.a, e.b) for e in got], signed) == classes(near, signed)
 
 
@@ -99,4 +99,14 @@ def test_keep_one_of_shared_and_null_ids(spark):
     rows = [(5, a), (5, b), (3, a), (None, b), (None, c), (None, c), (7, d), (7, d), (8, None), (None, "")]
     for k in range(3):
         docs = spark.createDataFrame(r.sample(rows, len(rows)), "doc_id bigint, text string").repartition(k + 1)
+        extra = keep_one(docs.selectExpr("*", "1 AS id", "2 AS row", "3 AS t", "4 AS own", "5 AS __row", "6 AS k"))
+        assert extra.columns[2:] == ["id", "row", "t", "own", "__row", "k"] and {tuple(x)[2:] for x in extra.collect()} == {(1, 2, 3, 4, 5, 6)}
         assert sorted(map(tuple, keep_one(docs).collect()), key=str) == sorted([(3, a), (5, b), (None, c), (7, d), (8, None)], key=str)
+
+
+def test_very_long_text(spark):
+    r = random.Random(10)
+    long = " ".join("w%d" % r.randrange(5000) for _ in range(300_000))
+    rows = [(1, long), (2, long.upper()), (3, "x" * 2_000_000), (4, None)]
+    got = {x.id: (x.fp, x.component_id) for x in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1] == got[2] and got[1][1] == 1 and got[3][1] == 3 and got[4] == (0, 4)
