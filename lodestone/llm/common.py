@@ -17,7 +17,20 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, however long the texts of its rows.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on Arrow batches to BATCH_BYTES; a lower one stays."""
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,6 +60,7 @@ _written = []
 def stored(df: DataFrame, label: str = "part") -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
@@ -85,6 +99,7 @@ def col(name: str) -> Column:
 
 def packed(df: DataFrame, made, **working: Column) -> DataFrame:
     """df's columns without those named made (whatever their case) in one struct, own, beside working columns: no names can clash."""
+    bound_batches(df.sparkSession)
     made = {c.lower() for c in made}
     own = [col(c) for c in df.columns if c.lower() not in made]
     return df.select((F.struct(*own) if own else F.struct(F.lit(None).cast("int").alias("none"))).alias("own"), *[c.alias(n) for n, c in working.items()])

@@ -116,9 +116,9 @@ def _candidates(block, window, bits, buckets):
                 if bits is not None:
                     once, twice = bits.value
                     p = windows(h, block, 0)
-                    m, slot = _masks(p), (p & np.uint64(len(once) - 1)).astype(np.int64)
-                    hit = ok & np.where(_aligned(w, block)[: len(ok)], (twice[slot] & m) == m, (once[slot] & m) == m)
-                    del p, m, slot
+                    m, word = _masks(p), np.where(_aligned(w, block)[: len(ok)], twice[(p & np.uint64(len(twice) - 1)).astype(np.int64)], once[(p & np.uint64(len(once) - 1)).astype(np.int64)])
+                    hit = ok & ((word & m) == m)
+                    del p, m, word
                 else:
                     hit = np.zeros(len(ok), bool)
                     for d in range(n):
@@ -154,6 +154,7 @@ def _candidates(block, window, bits, buckets):
                     length = np.diff(np.append(begin, len(s)))
                     s = s[begin]
                     yield _packed([(int(a[s[0]] >> np.uint64(32)) % buckets, a[:0], b[:0], multi[:0], doc[s], at[s], length)], k1[i : i + n], k2[i : i + n])
+        give_back()
 
     return run
 
@@ -265,20 +266,20 @@ def _remove(window):
 
 
 def _filter_bits(index: DataFrame, blocks: int):
-    """The index as two arrays of 64-bit words, four bits a block: of all blocks, and of those that come twice."""
-    slots = 1 << max(10, (max(blocks, 1) - 1).bit_length() - 1)
+    """The index as two arrays of 64-bit words, four bits a block in each: of all blocks, and of those that come twice."""
     mask = F.lit(0).cast("long")
     for k in range(4):
         mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftright", F.col("h"), F.lit(36 + 6 * k)).bitwiseAND(F.lit(63)).cast("int")))
-    got = index.select(F.col("h").bitwiseAND(F.lit(slots - 1)).alias("slot"), mask.alias("m"), "n").groupBy("slot")
-    got = got.agg(F.bit_or("m").alias("once"), F.bit_or(F.when(F.col("n") > 1, F.col("m")).otherwise(F.lit(0).cast("long"))).alias("twice")).toArrow()
-    at = got.column("slot").to_numpy()
-    out = []
-    for c in ("once", "twice"):
-        x = np.zeros(slots, np.uint64)
-        x[at] = got.column(c).to_numpy().view(np.uint64)
-        out.append(x)
-    return index.sparkSession.sparkContext.broadcast(tuple(out))
+
+    def bits(rows: DataFrame, n: int):
+        slots = 1 << max(10, (max(n, 1) - 1).bit_length() - 1)
+        got = rows.select(F.col("h").bitwiseAND(F.lit(slots - 1)).alias("slot"), mask.alias("m")).groupBy("slot").agg(F.bit_or("m").alias("m")).toArrow()
+        out = np.zeros(slots, np.uint64)
+        out[got.column("slot").to_numpy()] = got.column("m").to_numpy().view(np.uint64)
+        return out
+
+    twice = index.where("n > 1")
+    return index.sparkSession.sparkContext.broadcast((bits(index, blocks), bits(twice, twice.count())))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text", max_filter_blocks: int = MAX_FILTER_BLOCKS) -> DataFrame:

@@ -18,6 +18,8 @@ repeated rows get equal results; extra columns stay, those that clash with lang_
 replaced.
 """
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -112,16 +114,16 @@ def _cluster(clusters, idf):
 
     def run(table):
         def dense(rows):
-            out = []
             for at, n in zip(rows.column("at"), rows.column("n")):
-                out.append(np.zeros(DIMS, np.int64))
-                out[-1][at.values.to_numpy()] = n.values.to_numpy()
-            return out
+                row = np.zeros(DIMS, np.int64)
+                row[at.values.to_numpy()] = n.values.to_numpy()
+                yield row
 
         kind = table.column("kind").to_numpy()
-        own = dense(table.filter(pa.array(kind < 0)))
+        own = list(dense(table.filter(pa.array(kind < 0))))
         # few texts: those held out are clustered as well
-        x = vectors(own if len(own) >= 8 * clusters else dense(table.filter(pa.array(kind < 1))), idf)
+        x = vectors(own if len(own) >= 8 * clusters else list(dense(table.filter(pa.array(kind < 1)))), idf)
+        del own
         x = x[sorted(range(len(x)), key=lambda k: x[k].tobytes())]  # whatever order the rows came in
         k = min(clusters, len(x))
         c = x[:1]
@@ -133,16 +135,17 @@ def _cluster(clusters, idf):
             c /= np.sqrt((c * c).sum(1, keepdims=True))
         low = least_similar(dense(table.filter(pa.array(kind >= 0))), c, idf)
         lang = table.column("lang")[0].as_py()
+        del x
+        give_back()
         return pa.table({"lang": pa.array([lang] * k, pa.string()), "centroid": pa.array(list(c), pa.list_(pa.float32())), "low": pa.array([low] * k, pa.list_(pa.float64()))})
 
     return run
 
 
-def least_similar(rows: list[np.ndarray], centroids, idf) -> list[float]:
-    """By length class, the LOW quantile of the rows' similarities to their nearest centroid; classes without a row, and those above, take the last below."""
+def least_similar(rows, centroids, idf) -> list[float]:
+    """By length class, the LOW quantile of the rows' similarities to their nearest centroid; classes with few rows take the last below."""
     found = [[] for _ in range(LENGTHS + 1)]
-    for i in range(0, len(rows), 256):
-        part = rows[i : i + 256]
+    while part := list(itertools.islice(rows, 128)):
         for r, s in zip(part, (vectors(part, idf) @ centroids.T).max(1).tolist()):
             found[length_class(np.count_nonzero(r))].append(s)
     out, last = [], 0.0
@@ -183,8 +186,8 @@ def _predict(model):
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             langs, scores, rejected = [], [], []
-            for i in range(0, batch.num_rows, 256):
-                rows = [counts(t.as_py()) if t.is_valid else np.zeros(DIMS, np.int64) for t in texts[i : i + 256]]
+            for i in range(0, batch.num_rows, 128):
+                rows = [counts(t.as_py()) if t.is_valid else np.zeros(DIMS, np.int64) for t in texts[i : i + 128]]
                 some = [r.any() and model.value is not None for r in rows]
                 sims = None
                 if any(some):

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import col, drop_stored, packed, read_table, stored, unpacked
+from lodestone.llm.common import col, drop_stored, give_back, packed, read_table, stored, unpacked
 from lodestone.llm.components import components
 from lodestone.llm.wordhash import slices
 
@@ -68,6 +68,7 @@ def _fingerprints(size):
                     out[i + k] = fingerprint(data[offsets[k] : offsets[k + 1]], size)
             own = [batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(out.view(np.int64))], [*batch.schema.names[:-1], "fp"])
+        give_back()
 
     return run
 
