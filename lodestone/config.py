@@ -27,6 +27,8 @@ class TokenizerOptions:
     ngrams: tuple[int, int] | None = None
     separator: str = " "
     normalization: str | None = "NFKC"
+    #: Language whose rules of lower case hold: tr and az for their two i, lt for its dotted one; else those of all.
+    locale: str | None = None
 
     def __post_init__(self):
         if self.punctuation not in ("replace", "remove", "preserve"):

@@ -36,17 +36,3 @@ def strategy(name, k1: float = 1.2, b: float = 0.75):
 
 def default_max_distance(term: str) -> int:
     return 1 if len(term) <= 4 else 2
-
-
-def levenshtein(a: str, b: str, most: int | None = None) -> int:
-    """Edit distance in code points; beyond most, most + 1."""
-    if most is not None and abs(len(a) - len(b)) > most:
-        return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
-        if most is not None and min(row) > most:
-            return most + 1
-    return row[-1] if most is None or row[-1] <= most else most + 1

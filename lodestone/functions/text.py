@@ -1,14 +1,13 @@
 """Text analysis as Column expressions.
 
 White space is that of Unicode, and punctuation the classes P and S. Positions are counted before stop words
-go, so gaps stay visible to phrases. Everything is native but Unicode normalization, an Arrow UDF that is given
-only the texts that aren't proved normal by their characters alone.
+go, so gaps stay visible to phrases. Everything is native: Unicode normalization calls the library that Spark
+itself has for collations, for the texts that aren't proved normal by their characters alone.
 """
 
 import unicodedata
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,15 +25,26 @@ INERT = (
 )
 
 
-def normalize_unicode(text: Column, form: str = "NFKC") -> Column:
-    """text in the form; only rows with a character beyond those that prove it normal hand their text to Python."""
+#: Method of the JVM's normalizer and its second argument, by form.
+_FORMS = {"NFC": ("compose", False), "NFKC": ("compose", True), "NFD": ("decompose", False), "NFKD": ("decompose", True)}
 
-    @F.pandas_udf("string")
-    def normalized(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None or unicodedata.is_normalized(form, x) else unicodedata.normalize(form, x))
 
+def normalize_unicode(text: Column, form: str = "NFKC") -> Column:
+    """text in the form. Spark takes the call for one without a fixed result: it may stand in no aggregate function."""
+    method, compatible = _FORMS[form]
     inert = INERT if form in ("NFC", "NFKC") else r"\x{0}-\x{7F}"
-    return F.coalesce(normalized(F.when(text.rlike(f"[^{inert}]"), text)), text)
+    made = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), F.coalesce(text, F.lit("")), F.lit(compatible))
+    return F.when(text.rlike(f"[^{inert}]"), made).otherwise(text)
+
+
+def lower(text: Column, locale: str | None = None) -> Column:
+    """Lower case by the rules of a language."""
+    if locale and locale.split("-")[0] in ("tr", "az"):
+        text = F.replace(F.replace(text, F.lit("I"), F.lit("ı")), F.lit("İ"), F.lit("i"))
+    elif locale and locale.split("-")[0] == "lt":
+        for a, b in (("Ì", "i̇̀"), ("Í", "i̇́"), ("Ĩ", "i̇̃")):
+            text = F.replace(text, F.lit(a), F.lit(b))
+    return F.lower(text)
 
 
 def handle_punctuation(text: Column, mode: str = "replace") -> Column:
@@ -55,7 +65,7 @@ def prepared(text: Column, options: TokenizerOptions = DEFAULT) -> Column:
     if options.normalization:
         text = normalize_unicode(text, options.normalization)
     if options.lowercase:
-        text = F.lower(text)
+        text = lower(text, options.locale)
     return handle_punctuation(text, options.punctuation)
 
 
@@ -142,6 +152,15 @@ class Analyzer:
     def _normal(self, text: str) -> str:
         return unicodedata.normalize(self.options.normalization, text) if self.options.normalization else text
 
+    def _lower(self, text: str) -> str:
+        language = (self.options.locale or "").split("-")[0]
+        if language in ("tr", "az"):
+            text = text.replace("I", "ı").replace("İ", "i")
+        elif language == "lt":
+            for a, b in (("Ì", "i̇̀"), ("Í", "i̇́"), ("Ĩ", "i̇̃")):
+                text = text.replace(a, b)
+        return text.lower()
+
     def _joined(self, before: str, c: str) -> bool:
         """Whether c is normalized together with what stands before it: marks, and what composes without being one."""
         return c >= "\u0300" and (unicodedata.combining(c) > 0 or self._normal(before + c) != self._normal(before) + self._normal(c))
@@ -165,7 +184,7 @@ class Analyzer:
             while j < len(text) and self._joined(text[i:j], text[j]):
                 j += 1
             for c in self._normal(text[i:j]):
-                c = c.lower() if o.lowercase else c
+                c = self._lower(c) if o.lowercase else c
                 mark = unicodedata.category(c[0])[0] in "PS"
                 if self._space(c) or mark and o.punctuation == "replace":
                     close()
@@ -185,11 +204,33 @@ class Analyzer:
         """normalize_token of one string."""
         o = self.options
         text = self._normal(text)
-        text = text.lower() if o.lowercase else text
+        text = self._lower(text) if o.lowercase else text
         if o.punctuation != "preserve":
             text = "".join((" " if o.punctuation == "replace" else "") if unicodedata.category(c)[0] in "PS" else c for c in text)
         return " ".join("".join(" " if self._space(c) else c for c in text).split())
 
 
+def analyzed(spark, texts: list[str], options: TokenizerOptions = DEFAULT) -> list[list[tuple[str, int]]]:
+    """(token, position) of each of a few strings, analysed as documents are: on the driver, or, for what only Columns can do, by a small job."""
+    if not (options.stemmer or options.ngrams):
+        return [[(t, p) for t, p, _, _ in Analyzer(options).spans(x)] for x in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, x string").select("k", detailed(F.col("x"), options).alias("t")).collect()
+    return [[(t.token, t.position) for t in r.t] for r in sorted(rows, key=lambda r: r.k)]
+
+
+def offsets(rows, column: str, options: TokenizerOptions = DEFAULT):
+    """rows with tokens array<struct<token, position, start, end>>: the places of single tokens in the text as it was, in UTF-16 units, by Arrow batches."""
+    if options.stemmer or options.ngrams:
+        raise ValueError("offsets are those of single tokens without stems")
+    import pandas as pd
+
+    @F.pandas_udf("array<struct<token: string, position: int, start: int, end: int>>")
+    def spans(s: pd.Series) -> pd.Series:
+        an = Analyzer(options)
+        return s.map(lambda x: [(t, p, utf16_offset(x, a), utf16_offset(x, b)) for t, p, a, b in an.spans(x)] if x is not None else [])
+
+    return rows.withColumn("tokens", spans(F.col(column)))
+
+
 def utf16_offset(text: str, at: int) -> int:
     return len(text[:at].encode("utf-16-le")) // 2

@@ -5,7 +5,7 @@ Each report is one aggregate plan. Ratios with nothing below them are 0; percent
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
@@ -36,20 +36,51 @@ def _ratio(a, b):
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
-def _percentiles(c: str, digits: int):
-    return [F.coalesce(F.round(F.percentile(c, q), digits), F.lit(0.0)).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
+#: Parts that a column's values are dealt into before exact ranks are looked up.
+PARTS = 512
+
+
+def ranked(values: DataFrame, c: str, ranks: dict[str, Column]) -> DataFrame:
+    """One row: of the values of c in order, that at each rank (from 0, a Column of n, their number); null where there is none.
+
+    Bounds of parts come from a sketch and only say where to look: values are counted one by one, parts are
+    summed, and only the parts that hold a rank are sorted, so no task sees all values and ranks are exact.
+    """
+    rows = values.select(F.col(c).cast("double").alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    bounds = values.agg(F.percentile_approx(F.col(c).cast("double"), [k / PARTS for k in range(1, PARTS)], 10 * PARTS)).first()[0] or []
+    bounds = F.array(*[F.lit(x) for x in sorted(set(bounds))]).cast("array<double>")
+    rows = rows.withColumn("part", F.size(F.filter(bounds, lambda x: x < F.col("v"))))
+    parts = rows.groupBy("part").agg(F.sum("n").alias("n"))  # PARTS rows at most
+    parts = parts.withColumn("upto", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part"))).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
+    wanted = F.array(*[F.struct(F.lit(k).alias("name"), at(F.col("total")).cast("long").alias("at")) for k, at in ranks.items()])
+    wanted = parts.withColumn("w", F.explode(wanted)).where("w.at >= upto - n AND w.at < upto").select("part", "w.name", "w.at", (F.col("upto") - F.col("n")).alias("before"))
+    inside = rows.join(F.broadcast(wanted), "part")  # a row for each rank
+    inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("name").orderBy("v"))).where("upto > at")
+    return inside.groupBy().agg(*[F.min(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in ranks])
+
+
+def percentiles(values: DataFrame, c: str, digits: int = 6) -> DataFrame:
+    """One row: p50, p95, p99, between two values in proportion; 0 of no values."""
+    names = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    at = {}
+    for name, q in names.items():
+        at[f"{name}_low"] = (lambda q: lambda n: F.floor(F.round((n - 1) * q, 9)))(q)
+        at[f"{name}_high"] = (lambda q: lambda n: F.ceil(F.round((n - 1) * q, 9)))(q)
+    found = ranked(values, c, at).crossJoin(values.agg(F.count(c).alias("n")))  # one row each
+    between = lambda k, q: F.col(f"{k}_low") + (F.col(f"{k}_high") - F.col(f"{k}_low")) * (F.round((F.col("n") - 1) * q, 9) - F.floor(F.round((F.col("n") - 1) * q, 9)))
+    return found.select(*[F.coalesce(F.round(between(k, q), digits), F.lit(0.0)).alias(k) for k, q in names.items()])
 
 
 def overview(searches: DataFrame, digits: int = 6) -> DataFrame:
     zero = F.count_if(F.col("result_count") == 0)
-    return searches.agg(
+    base = searches.agg(
         F.count(F.lit(1)).alias("searches"),
         F.countDistinct("query").alias("queries"),
         F.coalesce(F.round(F.avg("latency_ms"), digits), F.lit(0.0)).alias("avg_latency"),
-        *_percentiles("latency_ms", digits),
         zero.alias("zero_results"),
         F.round(_ratio(zero, F.count(F.lit(1))), digits).alias("zero_rate"),
     )
+    return base.crossJoin(percentiles(searches, "latency_ms", digits)).select("searches", "queries", "avg_latency", "p50", "p95", "p99", "zero_results", "zero_rate")
 
 
 def volume(searches: DataFrame) -> DataFrame:
@@ -80,12 +111,13 @@ def no_results(report: DataFrame, limit: int = 20) -> DataFrame:
 
 def latency(searches: DataFrame, digits: int = 6) -> DataFrame:
     zero = lambda c: F.coalesce(F.round(c, digits), F.lit(0.0))
-    return searches.agg(F.count(F.lit(1)).alias("n"), zero(F.avg("latency_ms")).alias("avg"), zero(F.min("latency_ms")).alias("min"), zero(F.max("latency_ms")).alias("max"), *_percentiles("latency_ms", digits))
+    base = searches.agg(F.count(F.lit(1)).alias("n"), zero(F.avg("latency_ms")).alias("avg"), zero(F.min("latency_ms")).alias("min"), zero(F.max("latency_ms")).alias("max"))
+    return base.crossJoin(percentiles(searches, "latency_ms", digits))
 
 
 def nearest_rank(values: DataFrame, c: str, quantiles) -> DataFrame:
-    """Percentiles that are values themselves."""
-    return values.agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{c}`)").alias(f"p{round(100 * q)}") for q in quantiles])
+    """Percentiles that are values themselves: the first that as great a share of all reaches."""
+    return ranked(values, c, {f"p{round(100 * q)}": (lambda q: lambda n: F.greatest(F.ceil(F.round(n * q, 9)) - 1, F.lit(0)))(q) for q in quantiles})
 
 
 def clicks(searches: DataFrame, impressions: DataFrame, clicked: DataFrame, digits: int = 6) -> DataFrame:
@@ -113,6 +145,11 @@ def route_counters(requests: DataFrame) -> DataFrame:
     return requests.groupBy("method", "route", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("seconds").alias("seconds"))
 
 
+def document_gauge(docs: DataFrame, index: str) -> DataFrame:
+    """One row: the index and its number of documents."""
+    return docs.agg(F.lit(index).alias("index"), F.count(F.lit(1)).alias("documents"))
+
+
 def over_limit(requests: DataFrame, most: int, seconds: int = 60) -> DataFrame:
     """(key, window start, n) of keys with more than most requests(key, ts) in a fixed window."""
     w = F.window("ts", f"{seconds} seconds")

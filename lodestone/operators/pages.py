@@ -7,6 +7,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.urls import host, normalize_url, resolve
+from lodestone.sources.shared import shared_dir
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Elements and names of page furniture.
@@ -198,14 +200,36 @@ def crawled_documents(extracted: DataFrame) -> DataFrame:
     return extracted.select(F.sha2("page.canonical_url", 256).alias("id"), F.col("page.canonical_url").alias("url"), "page.title", "page.heading", "page.content", "page.language", "page.content_hash")
 
 
+@dataclass(frozen=True)
+class CrawlLimits:
+    """Bounds of a crawl."""
+
+    # Defaults, and the ranges below.
+    max_depth: int = 3
+    max_pages: int = 100
+    concurrency: int = 2
+    delay_ms: float = 500.0
+
+    def __post_init__(self):
+        for name, low, high, whole in (("max_depth", 0, 20, True), ("max_pages", 1, 10_000, True), ("concurrency", 1, 20, True), ("delay_ms", 0, 60_000, False)):
+            n = getattr(self, name)
+            if (whole and not isinstance(n, int)) or not low <= n <= high:
+                raise ValueError(f"{name} is {n}, outside {low} to {high}")
+
+
 def frontier(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, max_pages: int | None = None) -> DataFrame:
-    """(url, depth) by breadth first over edges(url, link), one join a level; the lineage of each level is cut by a checkpoint."""
-    edges = edges.select(normalize_url(F.col("url")).alias("url"), normalize_url(F.col("link")).alias("link")).where("url IS NOT NULL AND link IS NOT NULL")
-    level = seeds.select(normalize_url(F.col("url")).alias("url")).where("url IS NOT NULL").distinct().withColumn("depth", F.lit(0))
+    """(url, depth) by breadth first over edges(url, link), one join a level; each level is a checkpoint in the shared folder."""
+    shared_dir(edges.sparkSession)
+    if edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        edges.sparkSession.sparkContext.setCheckpointDir(shared_dir(edges.sparkSession))
+    edges = edges.select(normalize_url(F.col("url")).alias("url"), normalize_url(F.col("link")).alias("link")).where("url IS NOT NULL AND link IS NOT NULL").distinct()
+    level = seeds.select(normalize_url(F.col("url")).alias("url")).where("url IS NOT NULL").distinct().withColumn("depth", F.lit(0)).checkpoint()
     seen = level
     for d in range(1, max_depth + 1):
         new = edges.join(level.select("url"), "url").select(F.col("link").alias("url")).distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d))
-        level = new.checkpoint() if new.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else new
+        level = new.checkpoint()
+        if level.isEmpty():
+            break
         seen = seen.unionByName(level)
     return seen if max_pages is None else seen.orderBy("depth", "url").limit(max_pages)
 

@@ -5,11 +5,12 @@ Everything is joins and sums; vectors are rows (item, feature, value). Scores or
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
 from lodestone.operators.index import with_length
+from lodestone.sources.shared import kept
 
 # Weight of an interaction by its type.
 WEIGHTS = {"view": 1.0, "click": 2.0, "bookmark": 3.0, "like": 4.0, "purchase": 5.0}
@@ -53,16 +54,24 @@ def top(scores: DataFrame, limit: int | None = 10, digits: int = 6) -> DataFrame
     return out if limit is None else out.limit(limit)
 
 
-def neighbours(strength: DataFrame) -> DataFrame:
+#: Items of a user beyond which the user's pairs are dealt over tasks as pairs of tiles.
+TILE = 2000
+
+
+def neighbours(strength: DataFrame, tile: int = TILE) -> DataFrame:
     """(item_id, neighbour, score): cosine over users of items that share one.
 
-    Pairs are made per user, once each (i < j), and summed in the tasks before they are shuffled; a user with
-    very many items is dealt over several tasks by adaptive skew joins.
+    Pairs are made per user, once each (i < j), and summed in the tasks before they are shuffled. A user with
+    more than tile items is dealt as pairs of tiles, so that no task makes more than tile * tile pairs at once.
     """
     norm = strength.groupBy("item_id").agg(F.sqrt(F.sum(F.col("strength") * F.col("strength"))).alias("norm"))
-    a = strength.select("user_id", F.col("item_id").alias("i"), F.col("strength").alias("s"))
-    b = strength.select("user_id", F.col("item_id").alias("j"), F.col("strength").alias("t"))
-    dots = a.join(b, "user_id").where("i < j").groupBy("i", "j").agg(F.sum(F.col("s") * F.col("t")).alias("dot"))
+    heavy = strength.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")).where("tiles > 1")
+    rows = strength.join(heavy, "user_id", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("item_id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("user_id", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "item_id", "strength")
+    a = rows.select("user_id", "x", "y", F.col("own").alias("p"), F.col("item_id").alias("i"), F.col("strength").alias("s"))
+    b = rows.select("user_id", "x", "y", F.col("own").alias("q"), F.col("item_id").alias("j"), F.col("strength").alias("t"))
+    dots = a.join(b, ["user_id", "x", "y"]).where("i < j AND (x = y OR p <> q)").groupBy("i", "j").agg(F.sum(F.col("s") * F.col("t")).alias("dot"))
     n1, n2 = norm.select(F.col("item_id").alias("i"), F.col("norm").alias("n1")), norm.select(F.col("item_id").alias("j"), F.col("norm").alias("n2"))
     one = dots.join(n1, "i").join(n2, "j").withColumn("score", F.coalesce(F.try_divide("dot", F.col("n1") * F.col("n2")), F.lit(0.0))).where("score > 0")
     return one.select(F.explode(F.array(F.struct(F.col("i").alias("item_id"), F.col("j").alias("neighbour"), "score"), F.struct(F.col("j").alias("item_id"), F.col("i").alias("neighbour"), "score"))).alias("r")).select("r.*")
@@ -75,6 +84,22 @@ def collaborative(strength: DataFrame, near: DataFrame, user=None) -> DataFrame:
     return found.join(mine.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
 
 
+def dot(a: Column, b: Column) -> Column:
+    """Sum of products over the keys that two map<string, double> share."""
+    zero = F.lit(0.0)
+    return F.aggregate(F.map_keys(a), zero, lambda acc, k: acc + F.coalesce(F.element_at(a, k) * F.element_at(b, k), zero))
+
+
+def normalized(vector: Column) -> Column:
+    """A map<string, double> of unit length; one without length as it is."""
+    size = F.sqrt(F.aggregate(F.map_values(vector), F.lit(0.0), lambda acc, x: acc + x * x))
+    return F.when(size > 0, F.transform_values(vector, lambda _, x: x / size)).otherwise(vector)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    return dot(normalized(a), normalized(b))
+
+
 def content_vectors(items: DataFrame, id: str = "id", fields=("text",)) -> DataFrame:
     """(item_id, term, value): TF-IDF of unit length over the fields' texts together; items without a token count in N."""
     tokens = text.tokenize(F.concat_ws(" ", *fields))
@@ -89,6 +114,15 @@ def content_vectors(items: DataFrame, id: str = "id", fields=("text",)) -> DataF
     return raw.join(norm, "item_id").select("item_id", "term", F.coalesce(F.try_divide("value", "norm"), F.lit(0.0)).alias("value"))
 
 
+def stored_vectors(source: DataFrame, items: DataFrame, id: str = "id", fields=("text",), buckets: int = 8) -> DataFrame:
+    """content_vectors(items), written once for source and sorted by term within buckets."""
+
+    def make(folder: str) -> None:
+        content_vectors(items, id, fields).repartition(buckets, "term").sortWithinPartitions("term", "item_id").write.parquet(folder)
+
+    return source.sparkSession.read.parquet(kept(source, "vectors", make, repr((id, fields, buckets))))
+
+
 def similar_items(vectors: DataFrame, item) -> DataFrame:
     """(item_id, score) of all others that share a term with one item."""
     one = vectors.where(F.col("item_id") == item).select("term", F.col("value").alias("own"))

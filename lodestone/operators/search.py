@@ -1,12 +1,15 @@
 """Ranked search as one lazy plan.
 
 Query words are resolved on the driver (exact, synonyms, and typo-tolerant ones found in the vocabulary). The
-corpus is scanned once per plan into a narrow frame of field lengths and of the query terms' places; nothing
-is exploded and documents aren't shuffled. Statistics are one row of sums over the whole corpus, whatever the
-filters, and join it by broadcast. The best hits come by a top-k, not by a full sort.
+written index gives the postings of these terms alone, joined by document; without one the corpus is scanned
+once per plan into a narrow frame of field lengths and of the query terms' places, nothing exploded. Statistics are one row of sums over the whole corpus, whatever the
+filters, and join it by broadcast (one row). The best hits come by a top-k, not by a full sort.
 """
 
+from __future__ import annotations
+
 import re
+import time
 from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
@@ -16,7 +19,11 @@ from pyspark.sql import functions as F
 
 from lodestone.config import BoostRule, Filter, IndexConfig, SearchOptions
 from lodestone.functions import scoring, text
-from lodestone.operators import index
+from lodestone.operators import index, suggest
+from lodestone.operators.stored import StoredIndex
+
+
+_PARTS = "array<struct<query: string, term: string, kind: string, field: string, tf: int, share: double, df: bigint, idf: double, field_len: int, avg_len: double>>"
 
 
 @dataclass(frozen=True)
@@ -36,15 +43,12 @@ class Term:
     kind: str = "exact"
 
 
-def parse_query(query: str, options=text.DEFAULT) -> tuple[list[str], list[Phrase]]:
-    """(terms, phrases): quoted parts are phrases whose tokens are terms as well, after the others."""
-    an, phrases = text.Analyzer(options), []
-    for source in re.findall(r'"([^"]+)"', query):
-        found = an.spans(source)
-        if found:
-            phrases.append(Phrase(source, tuple((t, p - found[0][1]) for t, p, _, _ in found)))
-    terms = an.tokens(re.sub(r'"[^"]+"', " ", query))
-    return terms + [t for p in phrases for t, _ in p.tokens], phrases
+def parse_query(query: str, options=text.DEFAULT, spark=None) -> tuple[list[str], list[Phrase]]:
+    """(terms, phrases): quoted parts are phrases whose tokens are terms as well, after the others; all analysed as documents are."""
+    sources = re.findall(r'"([^"]+)"', query)
+    rest, *quoted = text.analyzed(spark, [re.sub(r'"[^"]+"', " ", query), *sources], options)
+    phrases = [Phrase(source, tuple((t, p - found[0][1]) for t, p in found)) for source, found in zip(sources, quoted) if found]
+    return [t for t, _ in rest] + [t for p in phrases for t, _ in p.tokens], phrases
 
 
 def filter_column(f: Filter, config: IndexConfig, kind: str) -> Column:
@@ -70,11 +74,17 @@ def filter_column(f: Filter, config: IndexConfig, kind: str) -> Column:
 
 
 class SearchIndex:
-    """Search over docs: one row a document, one column a field."""
+    """Search over docs: one row a document, one column a field. Without a written index each search scans the texts."""
 
-    def __init__(self, docs: DataFrame, config: IndexConfig, id: str = "id"):
-        self.docs, self.config, self.id = docs, config, id
+    def __init__(self, docs: DataFrame, config: IndexConfig, id: str = "id", stored: StoredIndex | None = None):
+        self.docs, self.config, self.id, self.stored = docs, config, id, stored
         self.kinds = dict(docs.dtypes)
+        self._words = {}
+
+    @classmethod
+    def written(cls, docs: DataFrame, config: IndexConfig, id: str = "id", spread=None) -> SearchIndex:
+        """Search over the written index of docs, which is made when it is first asked for."""
+        return cls(docs, config, id, StoredIndex.of(docs, config, id, spread))
 
     # resolving
 
@@ -97,6 +107,8 @@ class SearchIndex:
 
     def vocabulary(self) -> DataFrame:
         """(term, df) over all searchable fields: terms of a document are made distinct before the shuffle."""
+        if self.stored:
+            return self.stored.vocabulary.select("term", "df")
         arrays = [text.tokenize(F.col(f), self.config.tokenizer) for f in self.config.searchable]
         words = F.array_distinct(F.flatten(F.array(*arrays)))
         return self.docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -127,6 +139,8 @@ class SearchIndex:
 
         One expression a field, whose inner lambda binds the token array: the text is split once.
         """
+        if self.stored:
+            return self.stored.scan(terms, fields, self.id)
         o, wanted = self.config.tokenizer, F.array(*[F.lit(t) for t in terms])
 
         def of(f):
@@ -150,6 +164,8 @@ class SearchIndex:
 
     def stats(self, rows: DataFrame, terms: list[str], fields: list[str]) -> DataFrame:
         """One row: documents, mean length of each field, document frequency of each term in it."""
+        if self.stored:
+            return self.stored.row(terms, fields)
         out = [F.count(F.lit(1)).cast("double").alias("n")]
         for f in fields:
             out.append(F.avg(f"len_{f}").alias(f"avg_{f}"))
@@ -163,7 +179,7 @@ class SearchIndex:
 
         def one(r):
             tf = F.size(F.get(f"at_{field}", r["k"])).cast("double")
-            return F.struct(tf.alias("tf"), (r["w"] * rank(tf, F.col(f"len_{field}"), F.col("n"), F.col(f"avg_{field}"), F.get(f"df_{field}", r["k"]))).alias("share"))
+            return F.struct(F.get(f"df_{field}", r["k"]).alias("df"), tf.alias("tf"), (r["w"] * rank(tf, F.col(f"len_{field}"), F.col("n"), F.col(f"avg_{field}"), F.get(f"df_{field}", r["k"]))).alias("share"))
 
         return F.transform(made, one)
 
@@ -199,20 +215,32 @@ class SearchIndex:
                 added = added + F.when(day.isNotNull(), at_least * F.pow(F.lit(2.0), -age / r.half_life_days) * r.weight).otherwise(0.0)
         return F.greatest(F.lit(0.0), base + added)
 
-    def matches(self, query: str, options: SearchOptions = SearchOptions(), parts: bool = False) -> DataFrame:
-        """All matching documents with score, unordered; parts: with an array of each term's and field's share."""
-        words, phrases = parse_query(query, self.config.tokenizer)
+    def parsed(self, query: str):
+        if query not in self._words:
+            self._words[query] = parse_query(query, self.config.tokenizer, self.docs.sparkSession)
+        return self._words[query]
+
+    def _kept(self) -> list[str]:
+        return [c for c in self.docs.columns if c == self.id or c in self.config.fields]
+
+    def matches(self, query: str, options: SearchOptions = SearchOptions(), parts: bool = False, columns: bool = True) -> DataFrame:
+        """All matching documents with score, unordered; parts: with an array of each term's and field's share; without columns maybe id and score alone."""
+        words, phrases = self.parsed(query)
         where = reduce(lambda a, f: a & filter_column(f, self.config, self.kinds[f.field]), options.filters, F.lit(True))
         if not words:
-            keep = [c for c in self.docs.columns if c == self.id or c in self.config.fields]
-            rows = self.docs.where(where if options.filters else F.lit(False)).select(*keep).withColumn("base", F.lit(0.0))
-            return rows.withColumn("score", self._rules(F.col("base"), options)).drop("base")
+            rows = self.docs.where(where if options.filters else F.lit(False)).select(*self._kept()).withColumn("base", F.lit(0.0))
+            rows = rows.withColumn("score", self._rules(F.col("base"), options)).drop("base")
+            return rows.withColumn("parts", F.array().cast(_PARTS)) if parts else rows
         fields = self.allowed(options)
         resolved = self.resolve(words, options)
         terms = list(dict.fromkeys(r.term for r in resolved))
         rows = self.scan(terms, fields)
         stats = self.stats(rows, terms, fields)
-        rows = rows.where(where) if options.filters else rows
+        if self.stored and (columns or options.filters or self.config.rules):
+            own = self.docs.where(where) if options.filters else self.docs
+            rows = rows.join(own.select(*self._kept()), self.id)
+        elif options.filters:
+            rows = rows.where(where)
         rows = rows.crossJoin(F.broadcast(stats))  # one row
         for p in phrases:  # tied to the statistics, so that it stays above the scan and doesn't split texts again
             rows = rows.where(F.when(F.col("n") > 0, self._phrase(p, terms, fields)))
@@ -225,7 +253,21 @@ class SearchIndex:
         rows = rows.withColumn("score", self._rules(F.col("base"), options)).where("score > 0")
         if parts:
             kinds = F.array(*[F.struct(F.lit(r.query).alias("query"), F.lit(r.term).alias("term"), F.lit(r.kind).alias("kind")) for r in resolved])
-            of = lambda f: F.zip_with(kinds, F.col(f"share_{f}"), lambda a, b: F.struct(a["query"].alias("query"), a["term"].alias("term"), a["kind"].alias("kind"), F.lit(f).alias("field"), b["tf"].cast("int").alias("tf"), b["share"].alias("share")))
+            raw = lambda df: scoring.inverse_document_frequency(F.col("n"), df)
+            of = lambda f: F.zip_with(
+                kinds,
+                F.col(f"share_{f}"),
+                lambda a, b: F.struct(
+                    *[a[c].alias(c) for c in ("query", "term", "kind")],
+                    F.lit(f).alias("field"),
+                    b["tf"].cast("int").alias("tf"),
+                    b["share"].alias("share"),
+                    b["df"].cast("long").alias("df"),
+                    raw(b["df"]).alias("idf"),
+                    F.col(f"len_{f}").cast("int").alias("field_len"),
+                    F.col(f"avg_{f}").alias("avg_len"),
+                ),
+            )
             made = F.concat(*[of(f) for f in fields])
             rows = rows.withColumn("parts", F.filter(made, lambda x: x["tf"] > 0))
         return rows.select(*[c for c in rows.columns if c == self.id or c in self.config.fields], "score", *(["parts"] if parts else []))
@@ -239,15 +281,21 @@ class SearchIndex:
             raise ValueError(f"{s.field} is not sortable")
         return [F.col(s.field).desc_nulls_last() if s.descending else F.col(s.field).asc_nulls_last(), *by_score]
 
-    def search(self, query: str, options: SearchOptions = SearchOptions()) -> DataFrame:
-        """One page of hits, best first. Scores are rounded before they are ordered, so that equal ones tie by id."""
-        rows = self.matches(query, options).withColumn("score", F.round("score", options.digits))
+    def page(self, rows: DataFrame, options: SearchOptions) -> DataFrame:
         rows = rows.orderBy(*self.order(options))
         rows = rows.offset(options.offset) if options.offset else rows
         return rows if options.limit is None else rows.limit(options.limit)
 
+    def search(self, query: str, options: SearchOptions = SearchOptions()) -> DataFrame:
+        """One page of hits, best first. Scores are rounded before they are ordered, so that equal ones tie by id."""
+        late = self.stored and options.limit is not None and options.sort is None and bool(self.parsed(query)[0])  # the page is found first, then its columns
+        rows = self.page(self.matches(query, options, columns=not late).withColumn("score", F.round("score", options.digits)), options)
+        if late and set(rows.columns) != {*self._kept(), "score"}:
+            rows = self.docs.select(*self._kept()).join(F.broadcast(rows), self.id).select(*self._kept(), "score").orderBy(*self.order(options))  # as many rows as the limit
+        return rows
+
     def total(self, query: str, options: SearchOptions = SearchOptions()) -> DataFrame:
-        return self.matches(query, options).agg(F.count(F.lit(1)).alias("total"))
+        return self.matches(query, options, columns=False).agg(F.count(F.lit(1)).alias("total"))
 
     def facets(self, query: str, options: SearchOptions) -> DataFrame:
         """(facet, value, n) over all matches, before paging."""
@@ -261,11 +309,36 @@ class SearchIndex:
         pairs = [F.transform(v, (lambda f: lambda x: F.struct(F.lit(f).alias("facet"), x.alias("value")))(f)) for f, v in zip(options.facets, values)]
         return self.matches(query, options).select(F.explode(F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<struct<facet:string,value:string>>")) for p in pairs]))).alias("p")).groupBy("p.facet", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
+    def response(self, query: str, options: SearchOptions = SearchOptions(), highlight: tuple[str, ...] = (), explain: bool = False) -> dict:
+        """hits (with matched_terms; highlights of fields and parts if asked for), total, facets and time: one pass for the page, one for what counts all matches."""
+        began, (words, _) = time.perf_counter(), self.parsed(query)
+        rows = self.matches(query, options, parts=True).withColumn("score", F.round("score", options.digits))
+        matched = F.array_sort(F.array_distinct(F.transform("parts", lambda p: p["term"])))
+        hits = self.page(rows, options).withColumn("matched_terms", matched)
+        for f in highlight:
+            hits = suggest.highlight(hits, f, words, options=self.config.tokenizer).withColumnRenamed("highlight", f"highlight_{f}")
+        hits = (hits if explain else hits.drop("parts")).collect()
+        counts = [F.lit(None).cast("string").alias("facet"), F.lit(None).cast("string").alias("value"), F.count(F.lit(1)).alias("n")]
+        all_ = self.matches(query, options, columns=bool(options.facets)).agg(*counts)
+        if options.facets:
+            all_ = all_.unionByName(self.facets(query, options))
+        found = all_.collect()
+        facets = {f: {r.value: r.n for r in found if r.facet == f} for f in options.facets}
+        return {"hits": hits, "total": next(r.n for r in found if r.facet is None), "facets": facets, "ms": 1000 * (time.perf_counter() - began)}
+
+    def search_corrected(self, query: str, options: SearchOptions = SearchOptions()) -> tuple[DataFrame, str, list]:
+        """(hits, query, corrections): if the query finds nothing, its words are corrected by the vocabulary and it is asked again."""
+        if self.total(query, options).first().total:
+            return self.search(query, options), query, []
+        rows = suggest.correct(query, self.vocabulary()).orderBy("position").collect()
+        made = [r for r in rows if r.distance is not None]
+        again = " ".join(r.corrected for r in rows) if made else query
+        return self.search(again, options), again, made
+
     def explain(self, query: str, options: SearchOptions = SearchOptions()) -> DataFrame:
-        """(id, query, term, kind, field, tf, share) of the page's hits."""
+        """(id, query, term, kind, field, tf, share, df, idf, field_len, avg_len) of the page's hits."""
         rows = self.matches(query, options, parts=True).withColumn("score", F.round("score", options.digits))
-        page = rows.orderBy(*self.order(options)).limit(options.limit)
-        return page.select(self.id, F.explode("parts").alias("p")).select(self.id, "p.*")
+        return self.page(rows, options).select(self.id, F.explode("parts").alias("p")).select(self.id, "p.*")
 
 
 def fuzzy_terms(vocabulary: DataFrame, queries, max_distance: int | None = None, prefix_length: int = 1) -> DataFrame:
@@ -281,15 +354,17 @@ def fuzzy_terms(vocabulary: DataFrame, queries, max_distance: int | None = None,
     return near.select("query", "term", "df", "distance", F.greatest(F.lit(0.25), 1 - F.col("distance") / (F.col("most") + 1)).alias("penalty"))
 
 
-def batch_search(posts: DataFrame, lengths: DataFrame, queries: DataFrame, config: IndexConfig, k: int = 10, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
-    """Top k of many queries(query_id, text) at once over an index: (query_id, id, score, rank).
+def batch_search(
+    posts: DataFrame, stats: DataFrame, queries: DataFrame, config: IndexConfig, k: int = 10, k1: float = 1.2, b: float = 0.75, digits: int = 6, df: DataFrame | None = None
+) -> DataFrame:
+    """Top k of many queries(query_id, text) at once over an index's postings and field statistics: (query_id, id, score, rank).
 
     Joins by term, sums by query and document, and ranks inside each query after a first cut by salt, so that
     no query's matches need to stand in one task.
     """
     q = queries.select("query_id", F.explode(text.tokenize(F.col("text"), config.tokenizer)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    stats = index.field_stats(lengths)
-    df = index.term_field_df(posts)
+    df = index.term_field_df(posts) if df is None else df.select("term", "field", "df")
+    stats = stats.select("field", "n_docs", "avg_len")
     weight = F.lit(0.0)
     for name, f in config.fields.items():
         weight = F.when(F.col("field") == name, f.weight).otherwise(weight)

@@ -8,8 +8,9 @@ clicks among them are clicks on what they showed.
 from pyspark.sql import functions as F
 
 from lodestone.config import Field, IndexConfig
-from lodestone.operators import analytics, evaluate, index, recommend, suggest
+from lodestone.operators import analytics, evaluate, recommend, suggest
 from lodestone.operators.search import batch_search
+from lodestone.operators.stored import StoredIndex
 from lodestone.plans import sql
 from lodestone.plans.text_queries import docs
 from lodestone.sources.tables import read_table, spread
@@ -90,7 +91,7 @@ def items(spark, sf):
 
 
 def vectors(spark, sf):
-    return recommend.content_vectors(items(spark, sf))
+    return recommend.stored_vectors(read_table(spark, sf, "documents"), items(spark, sf))
 
 
 add("content_vectors", lambda spark, sf: rounded(vectors(spark, sf), "value"), f"WITH {VECTORS} SELECT item_id, term, round(v, 6) AS value FROM vec")
@@ -162,9 +163,10 @@ m AS (SELECT query_id, coalesce(hits / 10.0::DOUBLE, 0) AS precision, coalesce(h
 
 
 def run(spark, sf, **kw):
-    d, config = docs(spark, sf), IndexConfig({"text": Field(searchable=True)})
+    config = IndexConfig({"text": Field(searchable=True)})
+    stored = StoredIndex.of(read_table(spark, sf, "documents"), config, "doc_id", docs(spark, sf))
     q = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    out = batch_search(index.postings(d, config, "doc_id"), index.field_lengths(d, config, "doc_id"), q, config, **kw)
+    out = batch_search(stored.postings, stored.stats, q, config, df=stored.terms, **kw)
     return out.select("query_id", F.col("id").alias("doc_id"), "rank")
 
 
@@ -268,19 +270,33 @@ add(
 )
 
 
-def query_suggest(spark, sf):
+def log_signals(spark, sf):
     s, i, c = log(spark, sf)
     shown = i.groupBy("search_id").agg(F.count(F.lit(1)).alias("impressions"))
     s = s.join(shown, "search_id", "left").select("search_id", "query", "result_count", F.coalesce("impressions", F.lit(0)).alias("impressions"), F.col("created_at").alias("ts"))
-    return suggest.suggest(suggest.signals(s, c), "mach", "2024-02-01 00:00:00")
+    return suggest.signals(s, c)
 
 
-add(
-    "query_suggest",
-    query_suggest,
-    f"""WITH {LOG}, n AS (SELECT search_id, count(*) AS shown FROM im GROUP BY 1),
+SUGGEST = """n AS (SELECT search_id, count(*) AS shown FROM im GROUP BY 1),
 f AS (SELECT query, count(*) AS frequency, sum(shown) AS impressions, max(created_at) AS seen FROM se JOIN n USING (search_id) WHERE result_count > 0 GROUP BY 1),
 h AS (SELECT query, count(*) AS clicks FROM ok JOIN se USING (search_id) GROUP BY 1),
-r AS (SELECT query, frequency, coalesce(clicks, 0) / impressions AS ctr, ln(1 + frequency) * pow(2, -(epoch_us(TIMESTAMP '2024-02-01') - epoch_us(seen)) / 86400e6 / 30) AS d FROM f LEFT JOIN h USING (query) WHERE starts_with(query, 'mach'))
-SELECT query, round(d + ctr * 2, 6) AS score, frequency, round(ctr, 6) AS ctr FROM r ORDER BY 2 DESC, 1 LIMIT 10""",
+r AS (SELECT query, frequency, coalesce(clicks, 0) / impressions AS ctr, ln(1 + frequency) * pow(2, -(epoch_us(TIMESTAMP '2024-02-01') - epoch_us(seen)) / 86400e6 / 30) AS d FROM f LEFT JOIN h USING (query) WHERE starts_with(query, '{prefix}'))"""
+add(
+    "query_suggest",
+    lambda spark, sf: suggest.suggest(log_signals(spark, sf), "mach", "2024-02-01 00:00:00"),
+    f"WITH {LOG}, {SUGGEST.format(prefix='mach')} SELECT query, round(d + ctr * 2, 6) AS score, frequency, round(ctr, 6) AS ctr FROM r ORDER BY 2 DESC, 1 LIMIT 10",
+)
+
+
+def suggest_both(spark, sf):
+    stored = StoredIndex.of(read_table(spark, sf, "documents"), IndexConfig({"text": Field(searchable=True)}), "doc_id", docs(spark, sf))
+    return suggest.both(stored.vocabulary, log_signals(spark, sf), "i", "2024-02-01 00:00:00")
+
+
+add(
+    "suggest_both",
+    suggest_both,
+    f"""WITH {LOG}, {SUGGEST.format(prefix='i')}, {sql.live("t", "documents", "doc_id", "text")}
+(SELECT 'term' AS kind, term AS value, count(DISTINCT id)::DOUBLE AS score FROM t WHERE starts_with(term, 'i') GROUP BY term ORDER BY 3 DESC, 2 LIMIT 10)
+UNION ALL (SELECT 'query', query, round(d + ctr * 2, 6) FROM r ORDER BY 3 DESC, 2 LIMIT 10)""",
 )

@@ -1,5 +1,7 @@
 """Pages, URLs, crawl policy and segments."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestone.config import Field, IndexConfig, SearchOptions
@@ -8,7 +10,8 @@ from lodestone.operators import pages
 from lodestone.operators.suggest import autocomplete as complete
 from lodestone.operators.search import SearchIndex
 from lodestone.plans import sql
-from lodestone.sources.segments import merged_search, visible
+from lodestone.sources.segments import SegmentStore, merged_search, visible
+from lodestone.sources.shared import shared_dir
 from lodestone.sources.tables import page_of, read_table, spread
 
 QUERIES, ORACLES = {}, {}
@@ -28,9 +31,23 @@ def extracted(spark, sf):
     return pages.extract(spread(table(spark, sf)))
 
 
+# the text of a first element: white space as one space, the test pages' character references as characters
+PLAIN = (
+    "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '{}', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), "
+    "'[ \\t\\n\\r]+', ' ', 'g'))"
+)
 add("page_extract", lambda spark, sf: extracted(spark, sf).select("page_id", "page.title", "page.heading", "page.content", "page.canonical_url", "page.language", "page.content_hash"))
-add("page_links", lambda spark, sf: pages.links(extracted(spark, sf)))
+add(
+    "page_links",
+    lambda spark, sf: pages.links(extracted(spark, sf)),
+    """SELECT page_id, unnest(list_distinct(list_transform(regexp_extract_all(html, '<a href="(/[^"#]*)"', 1), lambda x: regexp_extract(lower(url), '^https?://[^/?]+') || x))) AS link FROM pages""",
+)
 add("crawled_documents", lambda spark, sf: pages.crawled_documents(extracted(spark, sf)).select("id", "url", "content_hash"))
+add(
+    "page_titles",
+    lambda spark, sf: extracted(spark, sf).select("page_id", "page.title", "page.heading", "page.language"),
+    f"""SELECT page_id, {PLAIN.format('<title>([^<]*)</title>')} AS title, {PLAIN.format('<h1>([^<]*)</h1>')} AS heading, regexp_extract(html, '<html lang="([^"]*)"', 1) AS language FROM pages""",
+)
 add("page_dedup", lambda spark, sf: pages.deduplicate(extracted(spark, sf).select("page_id", "page.content"), "content", "page_id").select("page_id", "content_hash"))
 
 HOST = "regexp_extract(u, '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1)"
@@ -79,16 +96,20 @@ SELECT d.doc_id, count(p.x) FILTER (WHERE p.b IS NULL OR p.b <> p.x) AS n_blocks
 
 
 def crawl_frontier(spark, sf):
-    """Links from page n to pages 2n + 1 and 2n + 2."""
-    p = table(spark, sf).select("page_id", F.concat(F.lit("http://h/"), F.col("page_id")).alias("url"))
-    links = p.select("url", F.explode(F.array(F.concat(F.lit("http://h/"), 2 * F.col("page_id") + 1), F.concat(F.lit("http://h/"), 2 * F.col("page_id") + 2))).alias("link"))
-    return pages.frontier(links, p.where("page_id = 0").select("url"), 4)
+    """From the first page of each host over the links of all pages."""
+    p = extracted(spark, sf).select("page_id", "url", "page.links")
+    seeds = pages.first_pages(p.select("page_id", "url"), 1).select("url")
+    return pages.frontier(p.select("url", F.explode("links").alias("link")), seeds, 3)
 
 
 add(
     "crawl_frontier",
     crawl_frontier,
-    "WITH RECURSIVE f(n, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT l.n, f.depth + 1 FROM f JOIN (SELECT page_id AS p, 2 * page_id + 1 AS n FROM pages UNION ALL SELECT page_id, 2 * page_id + 2 FROM pages) l ON l.p = f.n WHERE f.depth < 4) SELECT 'http://h/' || n AS url, depth FROM f",
+    f"""WITH RECURSIVE b AS (SELECT page_id, html, lower(url) AS u, regexp_replace(regexp_replace(url, '#.*$', ''), '^(https?://[^/?]+)(\\?|$)', '\\1/\\2') AS url FROM pages),
+e AS (SELECT DISTINCT url, regexp_extract(url, '^https?://[^/]+') || unnest(regexp_extract_all(html, '<a href="(/[^"#]*)"', 1)) AS link FROM b),
+s AS (SELECT url FROM b QUALIFY row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) <= 1),
+f(url, depth) AS (SELECT DISTINCT url, 0 FROM s UNION SELECT e.link, f.depth + 1 FROM f JOIN e USING (url) WHERE f.depth < 3)
+SELECT url, min(depth) AS depth FROM f GROUP BY url""",
 )
 add(
     "catalog_page",
@@ -112,7 +133,38 @@ def segments(spark, sf):
 SEGMENTS = """sg AS (SELECT doc_id, text, 1 AS generation FROM documents UNION ALL SELECT doc_id, 'renewed ' || text, 2 FROM documents WHERE doc_id % 3 = 0),
 vs AS (SELECT doc_id, text, generation FROM sg WHERE CASE WHEN doc_id % 3 = 0 THEN generation = 2 AND doc_id % 30 <> 0 ELSE doc_id % 5 <> 0 END)"""
 add("segment_visible", lambda spark, sf: visible(*segments(spark, sf), "doc_id").select("doc_id", "generation"), f"WITH {SEGMENTS} SELECT doc_id, generation FROM vs")
-add("segment_compact", lambda spark, sf: visible(*segments(spark, sf), "doc_id").select("doc_id", F.md5("text").alias("digest")), f"WITH {SEGMENTS} SELECT doc_id, md5(text) AS digest FROM vs")
+
+
+def written(spark, sf, config=None):
+    """The same segments and tombstones, written by a store of their own."""
+    d = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
+    store = SegmentStore(spark, f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}", "doc_id", config)
+    store.flush(d)
+    store.delete(d.where("doc_id % 5 = 0"))
+    store.flush(d.where("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("renewed "), "text")))
+    store.delete(d.where("doc_id % 30 = 0"))
+    return store
+
+
+def segment_compact(spark, sf):
+    """Flushed, compacted, and opened anew."""
+    store = written(spark, sf)
+    store.compact()
+    return SegmentStore(spark, store.folder, "doc_id").documents().select("doc_id", F.md5("text").alias("digest"))
+
+
+def segment_restore(spark, sf):
+    """Restored from a snapshot after everything was deleted."""
+    store = written(spark, sf)
+    snapshot = f"{store.folder}-snapshots/one"
+    store.snapshot(snapshot)
+    store.delete(read_table(spark, sf, "documents"))
+    store.restore(snapshot)
+    return store.documents().select("doc_id", F.md5("text").alias("digest"))
+
+
+for _name, _run in (("segment_compact", segment_compact), ("segment_restore", segment_restore)):
+    add(_name, _run, f"WITH {SEGMENTS} SELECT doc_id, md5(text) AS digest FROM vs")
 add(
     "segment_search_merged",
     lambda spark, sf: merged_search(*segments(spark, sf), CONFIG, "renewed this", SearchOptions(), "doc_id").select("doc_id", "score"),
@@ -126,6 +178,7 @@ add(
     lambda spark, sf: merged_search(*segments(spark, sf), CONFIG, "renewed this", SearchOptions(), "doc_id", per_segment=True).select("doc_id", "score"),
     f"WITH {SEGMENTS}, u AS ({PER}) SELECT doc_id, round(score, 6) AS score FROM u SEMI JOIN vs USING (doc_id, generation) ORDER BY 2 DESC, 1 LIMIT 10",
 )
+add("segment_store_search", lambda spark, sf: written(spark, sf, CONFIG).search("renewed this").select("doc_id", "score"), ORACLES["segment_search_local"])
 add(
     "segment_autocomplete",
     lambda spark, sf: complete(SearchIndex(visible(*segments(spark, sf), "doc_id"), CONFIG, "doc_id").vocabulary(), "re"),

@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.config import BoostRule, Field, Filter, IndexConfig, RecencyRule, SearchOptions, Sort, Synonym, TypoTolerance
-from lodestone.operators import index, suggest
-from lodestone.operators.search import SearchIndex, batch_search
+from lodestone.config import BoostRule, Field, Filter, IndexConfig, RecencyRule, SearchOptions, Sort, Synonym, TokenizerOptions, TypoTolerance
+from lodestone.operators import suggest
+from lodestone.operators.search import SearchIndex, batch_search, fuzzy_terms
+from lodestone.operators.stored import StoredIndex
 from lodestone.plans import sql
-from lodestone.plans.text_queries import docs
 from lodestone.sources.tables import read_table, spread
 
 QUERIES, ORACLES = {}, {}
@@ -22,14 +22,16 @@ def add(name, run, oracle=None):
 
 
 def documents(spark, sf, quality=False, **config):
-    d = read_table(spark, sf, "documents")
+    d, config = read_table(spark, sf, "documents"), IndexConfig(DOCUMENTS, **config)
+    stored = StoredIndex.of(d, config, "doc_id", spread(d))
     if quality:
         d = d.join(read_table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return SearchIndex(spread(d), IndexConfig(DOCUMENTS, **config), "doc_id")
+    return SearchIndex(d, config, "doc_id", stored)
 
 
 def parts(spark, sf, **config):
-    return SearchIndex(spread(read_table(spark, sf, "part")), IndexConfig(PART, **config), "p_partkey")
+    d = read_table(spark, sf, "part")
+    return SearchIndex.written(d, IndexConfig(PART, **config), "p_partkey", spread(d))
 
 
 def exact(query):
@@ -125,9 +127,9 @@ add(
 
 def dated(spark, sf):
     day = F.when(F.col("doc_id") % 11 == 0, F.lit("unknown")).otherwise(F.date_format(F.date_sub(F.lit("2024-06-01").cast("date"), (F.col("doc_id") % 90).cast("int")), "yyyy-MM-dd"))
-    d = spread(read_table(spark, sf, "documents").select("doc_id", "text")).withColumn("published", day)
+    d = read_table(spark, sf, "documents")
     config = IndexConfig({"text": Field(searchable=True), "published": Field()}, rules=(RecencyRule("published", 10.0, 0.5),))
-    return SearchIndex(d, config, "doc_id")
+    return SearchIndex(d.select("doc_id", "text").withColumn("published", day), config, "doc_id", StoredIndex.of(d, config, "doc_id", spread(d)))
 
 
 add(
@@ -144,23 +146,41 @@ add(
     hits(lambda spark, sf: documents(spark, sf, synonyms=SYNONYMS, synonym_penalty=0.5), "er en"),
     doc_sql("", terms=[("er", "er", 1), ("er", "ha", 0.5), ("er", "es", 0.5), ("en", "en", 1), ("en", "this", 0.5)]) + best(),
 )
-# DuckDB counts bytes, so other letters than the queries' become one byte
-FUZZY = """WITH {live}, v AS (SELECT term, count(DISTINCT id) AS df FROM t GROUP BY term),
-q(query, most) AS (VALUES ('thiss', 2), ('erthz', 2), ('haq', 1)),
-f AS (SELECT query, term, df, levenshtein(query, regexp_replace(term, '[^a-z0-9]', '_', 'g'))::INT AS distance, most FROM v, q WHERE substr(query, 1, 1) = substr(term, 1, 1) AND abs(length(query) - length(term)) <= most)
-SELECT query, term, df, distance, round(greatest(0.25, 1 - distance / (most + 1)::DOUBLE), 6) AS penalty FROM f WHERE distance <= most AND query NOT IN (SELECT term FROM v)""".format(
-    live=sql.live("t", "documents", "doc_id", "text")
-)
-
-
-def fuzzy_expand(spark, sf):
-    from lodestone.operators.search import fuzzy_terms
-
-    return fuzzy_terms(documents(spark, sf).vocabulary(), ["thiss", "erthz", "haq"]).withColumn("penalty", F.round("penalty", 6))
+# DuckDB counts bytes, so other letters than the queries' become one byte; length and first letter narrow the words before distances are worked out
+NEAR_TERMS = """v AS MATERIALIZED (SELECT term, count(DISTINCT id) AS df FROM t WHERE left(term, 1) IN ({first}) AND length(term) BETWEEN {low} AND {high} GROUP BY term),
+q(query, most) AS (VALUES {values}),
+n AS MATERIALIZED (SELECT query, most, term, df, regexp_replace(term, '[^a-z0-9]', '_', 'g') AS plain FROM v JOIN q ON left(query, 1) = left(term, 1) WHERE abs(length(query) - length(term)) <= most),
+f AS MATERIALIZED (SELECT query, term, df, levenshtein(query, plain)::INT AS distance, most FROM n),
+z AS (SELECT query, term, df, distance, greatest(0.25, 1 - distance / (most + 1)::DOUBLE) AS penalty FROM f WHERE distance <= most AND query NOT IN (SELECT term FROM v))"""
+
+
+def near_terms(queries):
+    values = [(q, 1 if len(q) <= 4 else 2) for q in queries]
+    return NEAR_TERMS.format(
+        first=", ".join(sorted({f"'{q[0]}'" for q in queries})),
+        low=min(len(q) - m for q, m in values),
+        high=max(len(q) + m for q, m in values),
+        values=", ".join(map(str, values)),
+    )
 
 
-add("fuzzy_expand", fuzzy_expand, FUZZY)
-add("fuzzy_search", hits(documents, "thiss erthz", SearchOptions(typo=TypoTolerance())))
+MISSPELT = ["thiss", "erthz", "haq"]
+add(
+    "fuzzy_expand",
+    lambda spark, sf: fuzzy_terms(documents(spark, sf).vocabulary(), MISSPELT).withColumn("penalty", F.round("penalty", 6)),
+    f"WITH {sql.live('t', 'documents', 'doc_id', 'text')}, {near_terms(MISSPELT)} SELECT query, term, df, distance, round(penalty, 6) AS penalty FROM z",
+)
+add(
+    "fuzzy_search",
+    hits(documents, "thiss erthz", SearchOptions(typo=TypoTolerance())),
+    f"""WITH {sql.live('t', 'documents', 'doc_id', 'text')}, {near_terms(["thiss", "erthz"])},
+w AS MATERIALIZED (SELECT term, penalty AS factor FROM z UNION ALL SELECT query, 1.0 FROM q WHERE query IN (SELECT term FROM v)),
+l AS (SELECT d.doc_id AS id, count(t.term)::DOUBLE AS n FROM documents d LEFT JOIN t ON t.id = d.doc_id GROUP BY 1),
+s AS (SELECT count(*)::DOUBLE AS n, avg(n) AS a FROM l),
+c AS (SELECT id, term, count(*)::DOUBLE AS tf FROM t SEMI JOIN w USING (term) GROUP BY 1, 2),
+d AS (SELECT term, count(*)::DOUBLE AS df FROM c GROUP BY 1)
+SELECT c.id AS doc_id, round(sum(w.factor * {sql.BM25.format(k1=1.2, b=0.75)}), 6) AS score FROM c JOIN d USING (term) JOIN w USING (term) JOIN l USING (id), s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
+)
 add(
     "explain_terms",
     lambda spark, sf: parts(spark, sf).explain("small ring", SearchOptions(limit=20)).select("p_partkey", "term", "field", "tf", F.round("share", 6).alias("share")),
@@ -170,9 +190,9 @@ add(
 
 def bm25_batch(spark, sf):
     """Every benchmark item as a query."""
-    d, config = docs(spark, sf), IndexConfig({"text": Field(searchable=True)})
+    index = documents(spark, sf)
     q = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return batch_search(index.postings(d, config, "doc_id"), index.field_lengths(d, config, "doc_id"), q, config)
+    return batch_search(index.stored.postings, index.stored.stats, q, IndexConfig({"text": Field(searchable=True)}), df=index.stored.terms)
 
 
 add(
@@ -196,16 +216,21 @@ add(
     lambda spark, sf: suggest.autocomplete(documents(spark, sf).vocabulary(), "th"),
     f"WITH {sql.live('t', 'documents', 'doc_id', 'text')} SELECT term, count(DISTINCT id) AS df FROM t WHERE starts_with(term, 'th') GROUP BY term ORDER BY df DESC, term LIMIT 10",
 )
-SPELL = """WITH {live}, v AS (SELECT term, count(DISTINCT id) AS df FROM t GROUP BY term),
-q(position, term, most) AS (VALUES (0, 'wherr', 2), (1, 'this', 1), (2, 'zzzzz', 2), (3, 'thandd', 2)),
-c AS (SELECT q.position, q.term, v.term AS candidate, v.df, levenshtein(q.term, regexp_replace(v.term, '[^a-z0-9]', '_', 'g'))::INT AS distance, q.most FROM q JOIN v ON left(q.term, 1) = left(v.term, 1) AND abs(length(q.term) - length(v.term)) <= q.most),
-r AS (SELECT *, row_number() OVER w AS r, lead(distance) OVER w AS d2, lead(df) OVER w AS df2, max(df) OVER (PARTITION BY position) AS most_df FROM c WHERE distance <= most WINDOW w AS (PARTITION BY position ORDER BY distance, df DESC, candidate)),
-b AS (SELECT *, (1 - distance / (greatest(length(term), length(candidate)) + 1)::DOUBLE) * 0.8 + ln(1 + df) / ln(1 + most_df) * 0.2 AS confidence FROM r WHERE r = 1),
-g AS (SELECT * FROM b WHERE distance > 0 AND confidence >= 0.65 AND NOT coalesce(d2 = distance AND df2 >= 0.9 * df, FALSE))
-SELECT q.position, q.term, coalesce(g.candidate, q.term) AS corrected, g.distance, round(g.confidence, 6) AS confidence FROM q LEFT JOIN g USING (position)""".format(
-    live=sql.live("t", "documents", "doc_id", "text")
-)
-add("spell_correct", lambda spark, sf: suggest.correct("wherr this zzzzz thandd", documents(spark, sf).vocabulary()).withColumn("confidence", F.round("confidence", 6)), SPELL)
+SPELL = """{live}, v AS (SELECT term, count(DISTINCT id) AS df FROM t GROUP BY term),
+q(position, term, most) AS (VALUES {values}),
+sc AS (SELECT q.position, q.term, v.term AS candidate, v.df, levenshtein(q.term, regexp_replace(v.term, '[^a-z0-9]', '_', 'g'))::INT AS distance, q.most FROM q JOIN v ON left(q.term, 1) = left(v.term, 1) AND abs(length(q.term) - length(v.term)) <= q.most),
+sr AS (SELECT *, row_number() OVER w AS r, lead(distance) OVER w AS d2, lead(df) OVER w AS df2, max(df) OVER (PARTITION BY position) AS most_df FROM sc WHERE distance <= most WINDOW w AS (PARTITION BY position ORDER BY distance, df DESC, candidate)),
+sb AS (SELECT *, (1 - distance / (greatest(length(term), length(candidate)) + 1)::DOUBLE) * 0.8 + ln(1 + df) / ln(1 + most_df) * 0.2 AS confidence FROM sr WHERE r = 1),
+g AS (SELECT * FROM sb WHERE distance > 0 AND confidence >= 0.65 AND NOT coalesce(d2 = distance AND df2 >= 0.9 * df, FALSE)),
+fixed AS (SELECT q.position, q.term, coalesce(g.candidate, q.term) AS corrected, g.distance, round(g.confidence, 6) AS confidence FROM q LEFT JOIN g USING (position))"""
+
+
+def spell_sql(query):
+    values = ", ".join(f"({k}, {sql.quoted(w)}, {1 if len(w) <= 4 else 2})" for k, w in enumerate(query.split()))
+    return "WITH " + SPELL.format(live=sql.live("t", "documents", "doc_id", "text"), values=values)
+
+
+add("spell_correct", lambda spark, sf: suggest.correct("wherr this zzzzz thandd", documents(spark, sf).vocabulary()).withColumn("confidence", F.round("confidence", 6)), spell_sql("wherr this zzzzz thandd") + " SELECT * FROM fixed")
 
 
 def highlight_page(spark, sf):
@@ -214,3 +239,57 @@ def highlight_page(spark, sf):
 
 
 add("highlight_page", highlight_page)
+
+
+# the analysis of documents and queries by other options
+
+WIDE = {"this": "ｔｈｉｓ", "fi": "ﬁ", "é": "e\u0301", "ü": "u\u0308"}
+
+
+def denormal(text):
+    """text with full-width letters, ligatures and separate accents: NFKC makes it text again."""
+    for a, b in WIDE.items():
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def analysed(name, text=None, **options):
+    """documents in an index of its own."""
+
+    def of(spark, sf):
+        d = read_table(spark, sf, "documents").select("doc_id", "text")
+        d = d.withColumn("text", text(F.col("text"))) if text else d
+        return SearchIndex.written(d, IndexConfig({"text": Field(searchable=True)}, tokenizer=TokenizerOptions(**options)), "doc_id", spread(d))
+
+    return of
+
+
+def table_sql(expression, terms):
+    """The search over a table of terms made ready by an expression of a document's tokens x."""
+    ready = f"{sql.live('r', 'documents', 'doc_id', 'text')}, o AS (SELECT id, list(term ORDER BY pos) AS x FROM r GROUP BY id), rd AS (SELECT d.doc_id, array_to_string({expression}, ' ') AS text FROM documents d LEFT JOIN o ON o.id = d.doc_id)"
+    return f"WITH {ready},\n{sql.scores('rd', 'doc_id', {'text': 1.0}, [(t, t, 1) for t in terms], stops=False)},\nm AS (SELECT b.id AS doc_id, b.score FROM base b WHERE b.score > 0)" + best()
+
+
+add("search_nfkc", hits(analysed("nfkc", denormal), "this er fi"), doc_sql("this er fi") + best())
+add(
+    "search_stemmed",
+    hits(analysed("stemmed", stemmer=lambda x: F.regexp_replace(x, "s$", "")), "thiss ers anss"),
+    table_sql("list_filter(list_transform(x, lambda y: regexp_replace(y, 's$', '')), lambda y: y <> '')", ["this", "er", "ans"]),
+)
+add(
+    "search_ngrams",
+    hits(analysed("ngrams", ngrams=(1, 2), separator="qq"), "er this ha"),
+    table_sql("list_concat(x, list_transform(range(1, len(x)), lambda i: x[i] || 'qq' || x[i + 1]))", ["er", "this", "ha", "erqqthis", "thisqqha"]),
+)
+add(
+    "search_corrected",
+    lambda spark, sf: documents(spark, sf).search_corrected("thandd")[0].select("doc_id", "score"),
+    spell_sql("thandd")
+    + f""", w AS (SELECT corrected AS term FROM fixed),
+l AS (SELECT d.doc_id AS id, count(t.term)::DOUBLE AS n FROM documents d LEFT JOIN t ON t.id = d.doc_id GROUP BY 1),
+s AS (SELECT count(*)::DOUBLE AS n, avg(n) AS a FROM l),
+c AS (SELECT id, term, count(*)::DOUBLE AS tf FROM t SEMI JOIN w USING (term) GROUP BY 1, 2),
+d AS (SELECT term, count(*)::DOUBLE AS df FROM c GROUP BY 1)
+SELECT c.id AS doc_id, round(sum({sql.BM25.format(k1=1.2, b=0.75)}), 6) AS score FROM c JOIN d USING (term) JOIN l USING (id), s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
+)
+

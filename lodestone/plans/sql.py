@@ -16,22 +16,22 @@ def tokens(name: str, table: str, id: str, col: str) -> str:
 {name} AS (SELECT id, unnest(range(len(l)))::INT AS pos, unnest(l) AS term FROM {name}_l)"""
 
 
-def live(name: str, table: str, id: str, col: str) -> str:
-    """CTE name of the tokens that aren't stop words."""
-    return f"{tokens(name + '_all', table, id, col)},\n{name} AS (SELECT * FROM {name}_all WHERE term NOT IN ({STOPS}))"
+def live(name: str, table: str, id: str, col: str, stops: bool = True) -> str:
+    """CTE name of the tokens that aren't stop words, or of all."""
+    return f"{tokens(name + '_all', table, id, col)},\n{name} AS (SELECT * FROM {name}_all WHERE {f'term NOT IN ({STOPS})' if stops else 'TRUE'})"
 
 
 BM25 = "ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * c.tf * ({k1} + 1) / (c.tf + {k1} * (1 - {b} + {b} * l.n / s.a))"
 TFIDF = "(1 + ln(c.tf)) * (ln((s.n + 1) / (d.df + 1)) + 1)"
 
 
-def scores(table: str, id: str, fields: dict, terms: list, ranking: str = "bm25", k1: float = 1.2, b: float = 0.75) -> str:
+def scores(table: str, id: str, fields: dict, terms: list, ranking: str = "bm25", k1: float = 1.2, b: float = 0.75, stops: bool = True) -> str:
     """CTEs up to base(id, score) and shares(id, query, term, field, tf, share); terms are (query, term, factor)."""
     formula = TFIDF if ranking == "tfidf" else BM25.format(k1=k1, b=b)
     parts = [f"q(query, term, factor) AS (VALUES {', '.join(f'({quoted(a)}, {quoted(t)}, {f}::DOUBLE)' for a, t, f in terms)})"]
     for f, w in fields.items():
         parts.append(
-            f"""{live("t_" + f, table, id, f)},
+            f"""{live("t_" + f, table, id, f, stops)},
 l_{f} AS (SELECT d.{id} AS id, count(t.term)::DOUBLE AS n FROM {table} d LEFT JOIN t_{f} t ON t.id = d.{id} GROUP BY 1),
 s_{f} AS (SELECT count(*)::DOUBLE AS n, CASE WHEN avg(n) > 0 THEN avg(n) ELSE 1 END AS a FROM l_{f}),
 c_{f} AS (SELECT id, term, count(*)::DOUBLE AS tf FROM t_{f} SEMI JOIN q USING (term) GROUP BY 1, 2),

@@ -91,14 +91,17 @@ def punct_remove(spark, sf):
     f"WITH x AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) SELECT doc_id, count(*) AS n_marks FROM x WHERE regexp_matches(c, '^{text.PUNCTUATION}$') GROUP BY doc_id"
 )
 def punctuation_count(spark, sf):
-    marks = F.length(F.regexp_replace("text", r"[^\p{P}\p{S}]", "")).cast("long")
+    marks = F.size(F.filter(F.split("text", ""), text.is_punctuation)).cast("long")
     return docs(spark, sf).select("doc_id", marks.alias("n_marks")).where("n_marks > 0")
 
 
-@query("SELECT doc_id, text AS normal FROM documents")
+@query("SELECT doc_id, text || ' fin café full kg' AS normal FROM documents")
 def unicode_normalize(spark, sf):
-    """All texts of the test tables are in normal form already."""
-    return docs(spark, sf).select("doc_id", text.normalize_unicode(F.col("text")).alias("normal"))
+    """The texts of the test tables are in normal form: accents are set apart, letters made wide, and such words added."""
+    made = F.concat("text", F.lit(" \ufb01n cafe\u0301 \uff46\uff55\uff4c\uff4c \u338f"))
+    for a, b in (("é", "e\u0301"), ("ñ", "n\u0303"), ("ö", "o\u0308"), ("th", "\uff54\uff48")):
+        made = F.replace(made, F.lit(a), F.lit(b))
+    return docs(spark, sf).select("doc_id", text.normalize_unicode(made).alias("normal"))
 
 
 POSTS = LIVE + ", p AS (SELECT id, term, count(*) AS tf, string_agg(pos, ',' ORDER BY pos) AS positions FROM t GROUP BY id, term)"
@@ -180,11 +183,18 @@ def mutate_documents(spark, sf):
     return upsert(remove(d, d.where("doc_id % 7 = 0"), "doc_id"), d.where("doc_id % 10 = 0").withColumn("source", F.lit("new")), "doc_id")
 
 
-@query("SELECT count(*) FILTER (WHERE try_cast(lang AS BIGINT) IS NULL AND lang IS NOT NULL) AS rejected, count(*) AS total FROM documents")
+@query(
+    """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE 'd' || doc_id END AS id, CASE WHEN doc_id % 5 = 0 THEN source ELSE n_chars::VARCHAR END AS level, CASE WHEN doc_id % 3 = 0 THEN lang ELSE '2024-01-02' END AS day FROM documents)
+SELECT doc_id, CASE WHEN id = '' THEN 'id' WHEN level IS NOT NULL AND try_cast(level AS BIGINT) IS NULL THEN 'level' ELSE 'day' END AS reason FROM r
+WHERE id = '' OR (level IS NOT NULL AND try_cast(level AS BIGINT) IS NULL) OR (day IS NOT NULL AND try_cast(day AS DATE) IS NULL)"""
+)
 def validate_rejects(spark, sf):
-    d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("level"))
-    good, bad = validate(d, {"level": "bigint"})
-    return bad.agg(F.count(F.lit(1)).alias("rejected")).crossJoin(d.agg(F.count(F.lit(1)).alias("total")))
+    """Every document with an id that may be empty, a number that may be a source's name and a date that may be a language's."""
+    id = F.when(F.col("doc_id") % 17 == 0, "").otherwise(F.concat(F.lit("d"), "doc_id"))
+    level = F.when(F.col("doc_id") % 5 == 0, F.col("source")).otherwise(F.col("n_chars").cast("string"))
+    day = F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise("2024-01-02")
+    d = read_table(spark, sf, "documents").select(id.alias("id"), "doc_id", level.alias("level"), day.alias("day"))
+    return validate(d, {"doc_id": "bigint", "level": "bigint", "day": "date"})[1].select("doc_id", "reason")
 
 
 @query("SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM documents")
