@@ -7,7 +7,8 @@ within the radius is missed, whatever it looks like.
 
 Equal fingerprints are one node, so groups of copies cost one row a table. Buckets are compared inside
 sorted partitions and yield a spanning forest of their links, never all pairs. Buckets beyond bucket_limit
-nodes are dealt anew as pairs of tiles, which any number of tasks share and which finds the same links.
+nodes are split by a second cover with other vectors, which holds for their pairs as the first does; only
+what is beyond the limit there too is dealt as pairs of tiles, which any number of tasks share.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any others; rows may
 repeat and ids may come twice; a null id is never a component's name unless it has no other; extra columns
@@ -31,10 +32,10 @@ BUCKET_LIMIT = 4096
 _STEP = 1 << 18
 
 
-def masks(radius: int = RADIUS) -> list[int]:
-    """The bits of 64 that each of the 2**(radius + 1) - 1 tables looks at."""
+def masks(radius: int = RADIUS, second: bool = False) -> list[int]:
+    """The bits of 64 that each of the 2**(radius + 1) - 1 tables looks at, with the vectors of the first or the second cover."""
     top = (1 << radius + 1) - 1
-    vector = [1 + i % top for i in range(64)]
+    vector = [1 + (11 * i + 5 * (i // top) if second else i) % top for i in range(64)]
     return [sum(1 << i for i in range(64) if (vector[i] & v).bit_count() % 2) for v in range(1, top + 1)]
 
 
@@ -171,20 +172,27 @@ def _tiles(radius):
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) between distinct fingerprints fps(fp bigint), enough to connect all that lie within the radius, and the table they are read from."""
+def links(fps: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (a, b) between distinct fingerprints fps(fp bigint), enough to connect all that lie within the radius, and the tables they are read from."""
     sign = lambda m: m - (1 << 64) if m >> 63 else m
-    rows = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(sign(m))).alias("key")) for t, m in enumerate(masks(radius))])).alias("r"))
-    rows = rows.select("r.t", "r.key", "fp")
-    found = stored(rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_buckets(radius, bucket_limit), "a bigint, b bigint, n bigint"), "op8-links")
-    edges = found.where("n IS NULL").select("a", "b")
-    hot = found.where("n IS NOT NULL").select(F.col("a").cast("int").alias("t"), F.col("b").alias("key"), F.ceil(F.col("n") / bucket_limit).cast("int").alias("tiles"))
+    deal = lambda second: F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(sign(m))).alias("key")) for t, m in enumerate(masks(radius, second))]))
+    compare = lambda rows: stored(rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_buckets(radius, bucket_limit), "a bigint, b bigint, n bigint"), "op8-links")
+    heavy = lambda found: found.where("n IS NOT NULL").select(F.col("a").cast("int").alias("t"), F.col("b").alias("key"), F.ceil(F.col("n") / bucket_limit).cast("int").alias("tiles"))
+    rows = fps.select("fp", deal(False).alias("r")).select("r.t", "r.key", "fp")
+    found = [compare(rows)]
+    edges, hot = found[0].where("n IS NULL").select("a", "b"), heavy(found[0])
     if hot.limit(1).count():
-        dealt = rows.join(hot, ["t", "key"])
-        own = F.pmod(F.xxhash64("fp"), "tiles").cast("int")
-        dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        dealt = dealt.select("t", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
-        edges = edges.union(dealt.groupBy("t", "key", "x", "y").applyInArrow(_tiles(radius), "a bigint, b bigint"))
+        # the bucket goes into the second key by its hash: a collision puts strangers side by side, which their distance tells apart
+        again = rows.join(hot.drop("tiles"), ["t", "key"]).select(F.xxhash64("t", "key").alias("bucket"), "fp", deal(True).alias("r"))
+        rows = again.select("r.t", F.xxhash64("bucket", "r.key").alias("key"), "fp")
+        found.append(compare(rows))
+        edges, hot = edges.union(found[1].where("n IS NULL").select("a", "b")), heavy(found[1])
+        if hot.limit(1).count():
+            dealt = rows.join(hot, ["t", "key"])
+            own = F.pmod(F.xxhash64("fp"), "tiles").cast("int")
+            dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+            dealt = dealt.select("t", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
+            edges = edges.union(dealt.groupBy("t", "key", "x", "y").applyInArrow(_tiles(radius), "a bigint, b bigint"))
     return edges, found
 
 
@@ -197,7 +205,7 @@ def _classes(fps: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
     named = stored(named, "op8-roots")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     out = stored(named.join(least, "root").select("fp", "root", "component_id"), "op8-classes")
-    drop_stored(nodes, made, root, named)
+    drop_stored(nodes, *made, root, named)
     return out
 
 

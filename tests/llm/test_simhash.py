@@ -39,8 +39,9 @@ def test_fingerprint():
 
 
 def test_masks_cover_every_pair():
-    r, m = random.Random(2), masks(4)
-    assert len(m) == 31
+    r = random.Random(2)
+    m, second = masks(4), masks(4, second=True)
+    assert len(m) == len(second) == 31 and not set(m) & set(second)
     for _ in range(3000):
         d = sum(1 << b for b in r.sample(range(64), r.randrange(1, 5)))
         assert any(d & x == 0 for x in m)
