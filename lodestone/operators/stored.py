@@ -64,19 +64,22 @@ class StoredIndex:
     def scan(self, terms: list[str], fields: list[str], id: str) -> DataFrame:
         """(id, len_<field>, at_<field>) of documents with one of the terms: the ascending positions of each term."""
         rows = self.only(self.postings, terms).where(F.col("field").isin(fields))
-        none = F.array().cast("array<int>")
+        wanted, none = F.array(*[F.lit(t) for t in terms]), F.array().cast("array<int>")
+        # a document's entries, one a term and field at most
+        rows = rows.groupBy(F.col("id").alias(id)).agg(F.collect_list(F.struct("field", "term", "positions", "field_len")).alias("entries"))
 
-        def at(f: str, t: str) -> Column:
-            return F.coalesce(F.first(F.when((F.col("field") == f) & (F.col("term") == t), F.col("positions")), ignorenulls=True), none)
+        def of(f: str) -> list[Column]:
+            own = F.filter("entries", lambda e: e["field"] == f)
+            at = F.transform(wanted, lambda t: F.coalesce(F.get(F.filter("entries", lambda e: (e["field"] == f) & (e["term"] == t)), 0)["positions"], none))
+            return [F.get(own, 0)["field_len"].alias(f"len_{f}"), at.alias(f"at_{f}")]
 
-        made = [c for f in fields for c in (F.max(F.when(F.col("field") == f, F.col("field_len"))).alias(f"len_{f}"), F.array(*[at(f, t) for t in terms]).alias(f"at_{f}"))]
-        return rows.groupBy(F.col("id").alias(id)).agg(*made)
+        return rows.select(id, *[c for f in fields for c in of(f)])
 
     def row(self, terms: list[str], fields: list[str]) -> DataFrame:
         """One row of statistics: documents, mean length of each field, document frequency of each term in it."""
         own = lambda c, f: F.max(F.when(F.col("field") == f, F.col(c))).cast("double")
         base = self.stats.agg(F.max("n_docs").cast("double").alias("n"), *[own("avg_len", f).alias(f"avg_{f}") for f in fields])
-        df = lambda f, t: F.coalesce(F.max(F.when((F.col("field") == f) & (F.col("term") == t), F.col("df"))), F.lit(0)).cast("double")
-        return base.crossJoin(self.only(self.terms, terms).agg(*[F.array(*[df(f, t) for t in terms]).alias(f"df_{f}") for f in fields]))  # one row each
-
-
+        found = self.only(self.terms, terms).agg(F.collect_list(F.struct("field", "term", "df")).alias("entries"))
+        wanted = F.array(*[F.lit(t) for t in terms])
+        df = lambda f: F.transform(wanted, lambda t: F.coalesce(F.get(F.filter("entries", lambda e: (e["field"] == f) & (e["term"] == t)), 0)["df"], F.lit(0)).cast("double"))
+        return base.crossJoin(found.select(*[df(f).alias(f"df_{f}") for f in fields]))  # one row each
