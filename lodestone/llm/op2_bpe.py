@@ -30,7 +30,7 @@ from lodestone.llm.common import col, give_back, packed, read_table, unpacked, w
 NAME = "op2_byte_bpe"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of the words that a task keeps, with what a table's entry costs, and the longest word that it keeps, in characters.
-CACHED_BYTES, LONGEST = 16 << 20, 64
+CACHED_BYTES, LONGEST = 64 << 20, 64
 _ENTRY = 250
 #: Rows whose ids are handed on together.
 _ROWS = 256
@@ -106,20 +106,22 @@ def merge(word: bytes, table: dict[bytes, int]) -> list[int]:
 
 
 class Words(dict):
-    """Ids of words, as little-endian unsigned 32-bit integers; encodes what it lacks."""
+    """Ids of words, as little-endian unsigned 32-bit integers; encodes what it lacks. When half the room is full the words are set aside: those met again come back, the others go at the next turn."""
 
     def __init__(self, table, room=CACHED_BYTES):
         super().__init__()
-        self.table, self.room, self.used = table, room, 0
+        self.table, self.room, self.used, self.aside = table, room, 0, {}
 
     def __missing__(self, word):
-        ids = merge(word.encode(), self.table)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.aside.get(word)
+        if packed is None:
+            ids = merge(word.encode(), self.table)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= LONGEST:
             size = _ENTRY + 4 * len(word) + len(packed)
-            if self.used + size > self.room:
+            if self.used + size > self.room // 2:
+                self.aside, self.used = dict(self), 0
                 self.clear()
-                self.used = 0
             self.used += size
             self[word] = packed
         return packed

@@ -11,7 +11,6 @@ NAMES = (
 ).split()
 PASSAGE = " ".join(f"w{k}" for k in range(60))
 TEXTS = [f"one two {PASSAGE}", f"three {PASSAGE} four five", None, "", "The house and the man of the city " * 4, "der und die das " * 9]
-MODEL = op7_language.fit
 
 
 def with_extras(spark, rows, schema):
@@ -25,7 +24,7 @@ def with_extras(spark, rows, schema):
 
 def runs(spark):
     docs, extras = with_extras(spark, [(k, t, "en", "src1") for k, t in enumerate(TEXTS)], "doc_id bigint, text string, lang string, source string")
-    model = op7_language.fit(spark.createDataFrame([(t, "en") for t in TEXTS], "text string, lang string"))
+    model = lambda: op7_language.fit(spark.createDataFrame([(t, "en") for t in TEXTS], "text string, lang string"))
     pages, page_extras = with_extras(spark, [(k, "http://h/", f"<div>{t}</div><article>{t}</article>") for k, t in enumerate(TEXTS)], "page_id bigint, url string, html string")
     return {
         "bpe": (docs, extras, lambda d: op2_bpe.encoded(d, P.path(op2_bpe.VOCABULARY))),
@@ -33,7 +32,7 @@ def runs(spark):
         "substring": (docs, extras, op4_substring.substring_dedup),
         "substring join": (docs, extras, lambda d: op4_substring.substring_dedup(d, max_filter_blocks=0)),
         "counts": (docs, extras, lambda d: op6_tokens.token_counts(d, P.path(op6_tokens.MODEL))),
-        "language": (docs, extras, lambda d: op7_language.identify(d, model)),
+        "language": (docs, extras, lambda d: op7_language.identify(d, model())),
         "keep one": (docs, extras, op8_simhash.keep_one),
         "tree": (pages, page_extras, op9_html.extract),
         "tree join": (pages, page_extras, lambda d: op9_html.extract(d, max_broadcast=-1)),
