@@ -3,8 +3,11 @@
 1. Index: each document is cut into non-overlapping blocks of 18 words; distinct block hashes are counted.
 2. Probe: every rolling window of 18 words is looked up. Any window of 35 words that also starts elsewhere
    holds, in its other occurrence, a whole aligned block (2 * 18 - 1 = 35), so it holds a hit.
-   The index goes out as a bitmap of a size fixed by max_filter_blocks; beyond that size the probes meet
-   the index in a shuffled join instead. A false hit costs a candidate, never a wrong result.
+   The index goes out as a bitmap of a size fixed by max_filter_blocks; beyond that size a coarser bitmap of
+   the same bytes drops most probes without a match, and those left meet the index in a shuffled join. Blocks
+   that make up more than one part in HOT_PARTS of all, of which there are fewer than HOT_PARTS, go out as a
+   list: their probes are hits at once, so no hash is hot in the join. A false hit costs a candidate, never a
+   wrong result.
 3. Extension: around the hits, every 35-word window is given a 96-bit hash and dealt by it, packed in buckets
    whose number follows the corpus; equal windows prove each other repeated. Consecutive repeated windows make the maximal repeats, whose words go.
 
@@ -33,6 +36,10 @@ NAME = "op4_substring_dedup"
 WINDOW = 35
 #: Index size up to which the bitmap is broadcast: it has at most 4 bytes a block, twice.
 MAX_FILTER_BLOCKS = 1 << 24
+#: The bitmap thins the probes of the join up to this many times as many blocks; beyond, it would let nearly all pass.
+THINNED = 16
+#: Blocks more frequent than one in so many are told to all workers: half a megabyte at most.
+HOT_PARTS = 1 << 16
 #: Windows of the corpus for each bucket; only the candidates among them reach it.
 BUCKET_ROWS = 1 << 20
 
@@ -75,13 +82,20 @@ def _index(block, window):
                 at = np.flatnonzero(ok & _aligned(w, block)[: len(ok)])
                 if len(at):
                     h, n = np.unique(windows(w.hashes(0), block, 0)[at], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["h", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     return run
 
 
-def _probe_rows(block, window):
-    """All probes, for the join: hash, whether aligned, document and word."""
+def _hits(bits, p, aligned):
+    """Whether the bitmaps (of all blocks, of those that come twice) hold the probes p; aligned ones are in the index themselves."""
+    once, twice = bits
+    m, word = _masks(p), np.where(aligned, twice[(p & np.uint64(len(twice) - 1)).astype(np.int64)], once[(p & np.uint64(len(once) - 1)).astype(np.int64)])
+    return (word & m) == m
+
+
+def _probe_rows(block, window, bits, hot):
+    """The probes, for the join: hash, whether aligned, whether hot (dealt by place then), document and word."""
 
     def run(batches):
         for batch in batches:
@@ -89,13 +103,20 @@ def _probe_rows(block, window):
             for i, n, data, offsets in slices(batch, "t"):
                 w = Words(data, offsets)
                 ok = _starts(w, block, window)
-                at = np.flatnonzero(ok)
+                if not ok.any():
+                    continue
+                h, aligned = windows(w.hashes(0), block, 0), _aligned(w, block)[: len(ok)]
+                at = np.flatnonzero(ok if bits is None else ok & _hits(bits.value, h, aligned))
                 if len(at):
                     doc = np.repeat(np.arange(n), np.diff(w.first))[at]
+                    h, place = h[at], (at - w.first[doc]).astype(np.int32)
+                    sure = np.isin(h, hot.value)
+                    h = np.where(sure, mix(k1[i + doc].view(np.uint64) ^ mix(k2[i + doc].view(np.uint64)) ^ place.astype(np.uint64)), h)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(windows(w.hashes(0), block, 0)[at].view(np.int64)), pa.array(_aligned(w, block)[at]), pa.array(k1[i + doc]), pa.array(k2[i + doc]), pa.array((at - w.first[doc]).astype(np.int32))],
-                        ["h", "aligned", "k1", "k2", "at"],
+                        [pa.array(h.view(np.int64)), pa.array(aligned[at]), pa.array(sure), pa.array(k1[i + doc]), pa.array(k2[i + doc]), pa.array(place)],
+                        ["h", "aligned", "hot", "k1", "k2", "at"],
                     )
+        give_back()
 
     return run
 
@@ -114,11 +135,7 @@ def _candidates(block, window, bits, buckets):
                     continue
                 h = w.hashes(0)
                 if bits is not None:
-                    once, twice = bits.value
-                    p = windows(h, block, 0)
-                    m, word = _masks(p), np.where(_aligned(w, block)[: len(ok)], twice[(p & np.uint64(len(twice) - 1)).astype(np.int64)], once[(p & np.uint64(len(once) - 1)).astype(np.int64)])
-                    hit = ok & ((word & m) == m)
-                    del p, m, word
+                    hit = ok & _hits(bits.value, windows(h, block, 0), _aligned(w, block)[: len(ok)])
                 else:
                     hit = np.zeros(len(ok), bool)
                     for d in range(n):
@@ -265,14 +282,14 @@ def _remove(window):
     return run
 
 
-def _filter_bits(index: DataFrame, blocks: int):
-    """The index as two arrays of 64-bit words, four bits a block in each: of all blocks, and of those that come twice."""
+def _filter_bits(index: DataFrame, blocks: int, most: int):
+    """The index as two arrays of at most `most` 64-bit words, four bits a block in each: of all blocks, and of those that come twice."""
     mask = F.lit(0).cast("long")
     for k in range(4):
         mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftright", F.col("h"), F.lit(36 + 6 * k)).bitwiseAND(F.lit(63)).cast("int")))
 
     def bits(rows: DataFrame, n: int):
-        slots = 1 << max(10, (max(n, 1) - 1).bit_length() - 1)
+        slots = 1 << max(10, min(most.bit_length() - 1, (max(n, 1) - 1).bit_length() - 1))
         got = rows.select(F.col("h").bitwiseAND(F.lit(slots - 1)).alias("slot"), mask.alias("m")).groupBy("slot").agg(F.bit_or("m").alias("m")).toArrow()
         out = np.zeros(slots, np.uint64)
         out[got.column("slot").to_numpy()] = got.column("m").to_numpy().view(np.uint64)
@@ -288,14 +305,18 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", t
     given = col(text)
     k1, k2 = F.coalesce(col(id).cast("long"), F.xxhash64(given, F.lit("no id"))), F.xxhash64(given)
     keys = docs.select(k1.alias("k1"), k2.alias("k2"), F.coalesce(given, F.lit("")).alias("t"))
-    index = stored(keys.select("t").mapInArrow(_index(block, window), "h bigint, n int").groupBy("h").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n")), "op4-index")
-    blocks = index.count()
+    index = stored(keys.select("t").mapInArrow(_index(block, window), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "op4-index")
+    blocks, total = index.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bits = _filter_bits(index, blocks, max(2, max_filter_blocks // 2)) if blocks <= THINNED * max_filter_blocks else None
     if blocks <= max_filter_blocks:
-        probed, bits = keys, _filter_bits(index, blocks)
+        probed = keys
         drop_stored(index)
     else:
-        probes = keys.mapInArrow(_probe_rows(block, window), f"h bigint, aligned boolean, {_KEY}, at int")
-        hits = probes.join(index, "h").where(~F.col("aligned") | (F.col("n") > 1)).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("at")).alias("at"))
+        hot = index.where(F.col("n") > max(1, total // HOT_PARTS)).select("h").toArrow()  # fewer than HOT_PARTS: their counts sum to total at most
+        hot = docs.sparkSession.sparkContext.broadcast(np.sort(hot.column("h").to_numpy().view(np.uint64)))
+        probes = keys.mapInArrow(_probe_rows(block, window, bits, hot), f"h bigint, aligned boolean, hot boolean, {_KEY}, at int")
+        real = F.col("hot") | (F.col("n").isNotNull() & (~F.col("aligned") | (F.col("n") > 1)))
+        hits = probes.join(index, "h", "left").where(real).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("at")).alias("at"))
         probed, bits = keys.join(hits, ["k1", "k2"], "left"), None
     buckets = max(16, blocks * block // BUCKET_ROWS)
     found = probed.mapInArrow(_candidates(block, window, bits, buckets), _PACKED).groupBy("bucket").applyInArrow(_settle(buckets), _PACKED_FOUND)

@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 
+from lodestone.llm import op4_substring
 from lodestone.llm.op4_substring import substring_dedup
 
 SCHEMA = "doc_id bigint, text string, n_words string, extra int"
@@ -36,7 +37,8 @@ def corpus(seed, window):
     return rows
 
 
-@pytest.mark.parametrize("limit", [1 << 24, 0])
+# the bitmap alone, the join alone, and the join of the probes that a bitmap of few words lets pass
+@pytest.mark.parametrize("limit", [1 << 24, 0, 64])
 @pytest.mark.parametrize("window", [3, 8, 35])
 def test_like_brute_force(spark, window, limit):
     rows = corpus(window, window)
@@ -50,3 +52,11 @@ def test_empty_table(spark):
     out = substring_dedup(spark.createDataFrame([], "doc_id bigint, text string"))
     assert out.collect() == []
     assert out.columns == ["doc_id", "text", "n_words", "n_removed", "kept_text"]
+
+
+def test_hot_blocks(spark, monkeypatch):
+    """A passage in most rows: its probes are hits without the join."""
+    monkeypatch.setattr(op4_substring, "HOT_PARTS", 64)
+    rows = [(k, " ".join([f"w{k}x{j}" for j in range(k % 7)] + [f"p{j}" for j in range(40)] + [f"v{k}x{j}" for j in range(9)]), None, k) for k in range(80)]
+    got = {r.extra: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(spark.createDataFrame(rows, SCHEMA), 8, max_filter_blocks=0).collect()}
+    assert got == dict(enumerate(brute(rows, 8)))
