@@ -20,12 +20,24 @@ NAME = "op1_quality_rules"
 
 SYMBOLS = "[^#*$%&|<>]+"
 
+#: Phrases of notices and calls in English, German, French and Spanish, tried one language after the other.
+#: Accented letters stand in both cases and not beside a \b: engines differ in how they fold them and whether they are of words.
 BOILERPLATE = (
     r"(?i)\b(all rights reserved|privacy policy|terms of (use|service)|cookie (policy|settings|consent)|"
     r"accept (all )?cookies|click here|read more|sign (in|up)|log ?in|subscribe|newsletter|lorem ipsum|"
-    r"(enable|requires) javascript|share (this|on)|follow us|copyright|licen[sc]ed under|skip to content)\b|©|\(c\) ?\d{4}"
+    r"(enable|requires) javascript|share (this|on)|follow us|copyright|licen[sc]ed under|skip to content|"
+    r"alle rechte vorbehalten|datenschutzerkl[äÄ]rung|nutzungsbedingungen|cookie-(einstellungen|richtlinie)|cookies (akzeptieren|zulassen)|"
+    r"hier klicken|jetzt (anmelden|registrieren|abonnieren)|folgen sie uns|zum inhalt springen|"
+    r"mentions l[éÉ]gales|conditions (d'utilisation|g[éÉ]n[éÉ]rales)|(accepter|g[éÉ]rer) les cookies|"
+    r"cliquez ici|inscrivez-vous|abonnez-vous|connectez-vous|suivez-nous|aller au contenu|"
+    r"todos los derechos reservados|pol[íÍ]tica de (privacidad|cookies)|t[éÉ]rminos (de uso|y condiciones)|aviso legal|(aceptar|configurar) (las |todas las )?cookies|"
+    r"iniciar sesi[óÓ]n|suscr[íÍ]bete|s[íÍ]guenos|saltar al contenido)\b|\b(tous droits r[éÉ]serv|politique de confidentialit|haga clic aqu)|©|\(c\) ?\d{4}"
+)
+#: A line of nothing but a way to elsewhere, in the same languages, or one that begins with a menu's mark.
+NAVIGATION = (
+    r"(?i)^[\x20\x09-\x0D]*([|»›•·>/]|(home|menu|next|previous|back to top|startseite|weiter|zur[üÜ]ck|nach oben|mehr (lesen|erfahren)|weiterlesen|"
+    r"accueil|suivant|pr[éÉ]c[éÉ]dent|haut de page|lire la suite|en savoir plus|inicio|siguiente|anterior|volver arriba|leer m[áÁ]s)[\x20\x09-\x0D.!:]*$)"
 )
-NAVIGATION = r"^\s*([|»›•·>/]|(home|menu|next|previous|back to top)\b\W*$)"
 SEPARATORS = r"[|»›•·][^|»›•·]*[|»›•·]"
 TERMINAL = r"^[.!?…。！？:;\"'”’»)\]]$"
 ALL_MARKS = r"^[\p{P}\p{S}\s]+$"

@@ -47,3 +47,13 @@ def test_empty_table_and_native_plan(spark):
     assert out.collect() == [] and out.columns[:3] == ["doc_id", "text", "x"]
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_boilerplate_of_four_languages(spark):
+    prose = texts()["varied"]
+    bad = ["Alle Rechte vorbehalten, auch an den Bildern dieser Seite und am Text.", "Tous droits réservés, y compris ceux des images de cette page et du texte.", "ABONNEZ-VOUS à notre lettre et ne manquez plus aucun de nos articles.",
+           "Consulte la POLÍTICA de privacidad para saber cómo tratamos los datos de las visitas.", "Mit Cookies akzeptieren stimmen Sie der Speicherung auf Ihrem Gerät gern zu.", "Home.", "Zurück!", "En savoir plus:", "Leer más."]
+    good = ["Wir wollen mehr erfahren und lesen weiter, bis wir alles davon verstehen.", "Pour en savoir plus, elle a lu tout le livre en une seule nuit.", "They went home.", "El anterior alcalde llegó."]
+    rows = [(k, prose + "\n" + x) for k, x in enumerate(bad + good)]
+    got = {r.doc_id: r.clean_text for r in quality_rules(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {k: prose if k < len(bad) else t for k, t in rows}
