@@ -92,6 +92,22 @@ def test_page_extraction():
     assert same["content_hash"] == got["content_hash"]
 
 
+def test_titles_decode_closed_references_alone(spark, tmp_path):
+    from lodestone.registry import QUERIES
+
+    page = '<html lang="en"><head><title>a &amp;&amp; b &lt;c&gt; &amp</title></head><body><h1>a&b &#x27;d&#x27; &amp</h1></body></html>'
+    spark.createDataFrame([(1, "http://h/a", page)], "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["page_titles"](spark, str(tmp_path)).first()
+    assert (got.title, got.heading) == ("a && b <c> &amp", "a&b 'd' &amp")
+    assert pages.extract_page(page, "http://h/a")["title"] == "a && b <c> &"
+
+
+def test_recency_ahead(spark):
+    items = spark.createDataFrame([("a", "2024-01-31 00:00:00"), ("b", "2024-02-11 00:00:00")], "item_id string, created_at string")
+    score = lambda **k: {r.item_id: r.score for r in recommend.recency(items, items.where("false"), "2024-02-01 00:00:00", 10.0, **k).collect()}
+    assert score() == {"a": pytest.approx(2**-0.1), "b": 1.0} and score(ahead=True) == {"a": pytest.approx(2**-0.1), "b": 2.0}
+
+
 def test_tables(spark, tmp_path):
     base = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
     up = tables.upsert(base, spark.createDataFrame([("b", 3), ("c", 4)], "id string, n int"))
