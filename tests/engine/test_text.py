@@ -124,3 +124,12 @@ def test_inert_characters():
     assert len(found) > 20_000
     for c in found:
         assert unicodedata.normalize("NFKC", c) == unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c) and c not in second
+
+
+def test_quick_classes_are_the_whole_ones(spark):
+    """SPACE has the characters of WS, and the quick test for texts that aren't normal finds what the whole class finds."""
+    chars = spark.range(0x110000).where("id NOT BETWEEN 55296 AND 57343").select(F.expr("decode(unhex('00000061' || lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    assert chars.where(F.col("c").rlike(text.SPACE) != F.col("c").rlike(text.WS)).count() == 0
+    assert chars.where(F.col("c").rlike(text.SPACE)).count() == len(text.SPACES)
+    rows = spark.createDataFrame([("a" * 9 + chr(k),) for k in (*range(0xA0, 0x3000), *range(0xF900, 0xFFFE), 0x1D400, 0x1F600)], "c string")
+    assert rows.where(text.normalize_unicode(F.col("c")) != F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.col("c"), F.lit(True))).count() == 0
