@@ -307,3 +307,29 @@ def test_stored_index_of_two_fields(spark, tmp_path):
     StoredIndex.write(docs, CONFIG, str(tmp_path / "i"))
     i = StoredIndex(spark, str(tmp_path / "i"))
     assert {(r.term, r.df) for r in i.vocabulary.collect()} == {(r.term, r.df) for r in SearchIndex(docs, CONFIG).vocabulary().collect()}
+
+
+def test_postings_and_vectors_need_no_shuffle_of_their_own(spark, tmp_path):
+    from lodestone.operators import index, recommend
+
+    docs = spark.createDataFrame([(k, f"w{k % 5} " * (k % 7) + "red fox") for k in range(50)], "id int, text string")
+    config = IndexConfig({"text": Field(searchable=True)})
+    assert "Exchange" not in index.postings(docs, config)._jdf.queryExecution().executedPlan().toString()
+    docs.repartition(1).write.parquet(f"{tmp_path}/d")
+    source = spark.read.parquet(f"{tmp_path}/d")
+    got = recommend.stored_vectors(source, source)
+    want = recommend.content_vectors(docs)
+    rows = lambda df: sorted((r.item_id, r.term, round(r.value, 9)) for r in df.collect())
+    assert rows(got) == rows(want)
+
+
+def test_filters_alone_write_no_index(spark):
+    from lodestone.config import Filter
+
+    def never():
+        raise AssertionError("an index was asked for")
+
+    docs = spark.createDataFrame([(1, "red", 5), (2, "fox", 7)], "id int, text string, n int")
+    config = IndexConfig({"text": Field(searchable=True), "n": Field(filterable=True)})
+    found = SearchIndex(docs, config, stored=never).search("", SearchOptions(filters=(Filter("n", "greaterThan", 5),)))
+    assert [r.id for r in found.collect()] == [2]
