@@ -39,3 +39,21 @@ def test_split_tries_no_class_on_plain_texts(spark):
     assert f"split(title, {text.SPACE}" not in str(made)
     got = [r[0] for r in spark.createDataFrame(rows(), "id int, title string").select(made).collect()]
     assert got == [None if t is None else [w for w in "".join(" " if c in text.SPACES else c for c in t).split(" ") if w] for _, t in rows()]
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 30])
+def test_batch_over_texts_like_batch_over_postings(spark, cells):
+    from lodestone.operators import batch
+    from lodestone.operators.search import batch_search
+
+    config = IndexConfig({"title": Field(searchable=True, weight=2.0), "body": Field(searchable=True)})
+    data = [(k, a, b) for (k, a), (_, b) in zip(rows(90), reversed(rows(90)))]
+    data += [(k + 1000, a, b) for k, a, b in data]  # copies tie by id
+    docs = spark.createDataFrame(data, "id int, title string, body string").repartition(3)
+    queries = spark.createDataFrame([("q1", "red fox fox"), ("q2", "the dé"), ("q3", "nothing here"), ("q4", None)], "query_id string, text string")
+    stats = index.field_stats(index.field_lengths(docs, config))
+    got = batch.search(docs, queries, config, k=7, runs=((1.2, 0.75), (2.0, 0.0)), cells=cells)
+    for run, (k1, b) in enumerate(((1.2, 0.75), (2.0, 0.0))):
+        want = batch_search(index.postings(docs, config), stats, queries, config, k=7, k1=k1, b=b)
+        assert sorted(map(tuple, got.where(f"run = {run}").drop("run").collect())) == sorted(map(tuple, want.collect()))
+    assert got.where("query_id = 'q1'").count() == 14
