@@ -57,3 +57,19 @@ def test_batch_over_texts_like_batch_over_postings(spark, cells):
         want = batch_search(index.postings(docs, config), stats, queries, config, k=7, k1=k1, b=b)
         assert sorted(map(tuple, got.where(f"run = {run}").drop("run").collect())) == sorted(map(tuple, want.collect()))
     assert got.where("query_id = 'q1'").count() == 14
+
+
+def test_search_of_each_segment_splits_its_texts_once(spark):
+    from lodestone.config import SearchOptions
+    from lodestone.operators.search import SearchIndex
+    from lodestone.sources.segments import merged_search
+
+    data = [(k, t, 1) for k, t in rows(60)] + [(k, f"red {t}", 2) for k, t in rows(60) if k % 3 == 0]
+    segments, dead = spark.createDataFrame(data, "id int, title string, generation int"), spark.createDataFrame([(6, 2), (7, 1)], "id int, generation int")
+    got = merged_search(segments, dead, IndexConfig(FIELD), "red fox", SearchOptions(limit=15), per_segment=True)
+    assert "split(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for g in (1, 2):
+        hits = SearchIndex(segments.where(f"generation = {g}").drop("generation"), IndexConfig(FIELD)).search("red fox", SearchOptions(limit=None)).collect()
+        want += [(h.id, h.title, h.score, g) for h in hits if h.id not in (6, 7) and g == (2 if h.id % 3 == 0 else 1)]
+    assert list(map(tuple, got.collect())) == sorted(want, key=lambda h: (-h[2], h[0]))[:15]
